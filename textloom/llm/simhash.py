@@ -58,14 +58,14 @@ def fingerprint(text: str, words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every row."""
+    """rid (the row's monotonically_increasing_id), doc_id, fp (the fingerprint as a signed long) of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             prints = np.array([fingerprint(t, words) for t in batch["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": prints.view(np.int64)})
+            yield pd.DataFrame({"rid": batch["rid"], "doc_id": batch["doc_id"], "fp": prints.view(np.int64)})
 
-    return docs.select(F.col("doc_id").cast("long"), body().alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), body().alias("text")).mapInPandas(run, "rid long, doc_id long, fp long")
 
 
 @lru_cache(1)
@@ -235,21 +235,21 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = DISTANCE) -> DataFrame:
-    """One row per row of docs: doc_id, fp (long), component_id."""
+    """One row per row of docs: rid, doc_id, fp (long), component_id, kept (of each component the smallest id's first row)."""
     prints = written(fingerprints(docs, words))
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
+    distinct = written(prints.groupBy("fp").agg(first))
     joined = written(components(links(distinct, distance)))
     rooted = distinct.join(joined, distinct.fp == joined.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    whole = written(rooted.join(ids, "root").select("fp", "component_id"))
-    return prints.join(small(whole), "fp").select("doc_id", "fp", "component_id")
+    whole = written(rooted.join(rooted.groupBy("root").agg(F.min("first").alias("best")), "root").select("fp", "best"))
+    return prints.join(small(whole), "fp").select("rid", "doc_id", "fp", F.col("best.doc_id").alias("component_id"), (F.col("rid") == F.col("best.rid")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, distance: int = DISTANCE) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates, with docs' columns (of rows that repeat
-    that id, one). Rows with a null id stay only where no row of the group has an id, one for each group."""
-    kept = written(near_duplicates(docs, words, distance).select(F.col("component_id").alias("_id")).where("_id IS NOT NULL").distinct())
-    return docs.join(small(kept), docs.doc_id == kept._id, "left_semi").select(*docs.columns)
+    """One row of each group of near duplicates, with docs' columns; docs is read from files, so that its rows are
+    numbered alike each time."""
+    gone = small(written(near_duplicates(docs, words, distance).where(~F.col("kept")).select(F.col("rid").alias("_rid"))))
+    return docs.withColumn("_rid", F.monotonically_increasing_id()).join(gone, "_rid", "left_anti").select(*docs.columns)
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
