@@ -11,6 +11,10 @@ Buckets are made over distinct fingerprints. In a bucket a search from seeds rem
 fingerprints gives at most m - 1 links, never all its pairs, and bucket links are thinned to a forest per part.
 Buckets above BUCKET fingerprints are cut into blocks and each pair of blocks is a bucket of its own, in its own task.
 
+Near duplicates of word shingles at a similarity of 0.8 differ in some 15 % of the bits, more than 64 bits can find.
+``keep_one`` therefore takes two fingerprints (128 bits, six segments), buckets by the six pairs of neighbouring
+segments, and links at WIDE_DISTANCE differing bits; there buckets find most links at that similarity, not all.
+
 Defined cases: a null text is the empty text; texts without a word have fingerprint zero and link like any other;
 texts of fewer words than a shingle are one shingle; rows that repeat share a fingerprint; null ids are carried along
 and never smallest (a component of null ids alone has a null component_id); an empty table gives an empty result.
@@ -33,39 +37,59 @@ from textloom.llm.common import body, small, table, written
 from textloom.llm.components import components
 
 SEED, DISTANCE, SEGMENTS = 42, 4, ((0, 22), (22, 21), (43, 21))
+#: A second fingerprint's seed; differing bits of 128 at which the estimated similarity of shingle sets is still near 0.8.
+MORE_SEED, WIDE_DISTANCE = 43, 24
 #: Fingerprints of one bucket that one task compares, and keys of one part, about.
 BUCKET, PART = 20_000, 1_500_000
 
 
-def fingerprint(text: str, words: int) -> int:
-    """Bits that are set in over half the hashes of the text's shingles; whole text, repeats included."""
+def fingerprint(text: str, words: int, seeds: tuple[int, ...] = (SEED,)) -> list[int]:
+    """Of each seed, the bits that are set in over half the hashes of the text's shingles; whole text, repeats included."""
     tokens = text.encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return [0] * len(seeds)
     whole, n = b" ".join(tokens), len(tokens)
     digest = xxhash.xxh64_intdigest
     if n <= words:
-        return digest(whole, SEED)
+        return [digest(whole, seed) for seed in seeds]
     sizes = np.fromiter(map(len, tokens), np.int64, n) + 1
     ends = np.cumsum(sizes) - 1
     starts = ends - sizes + 1
-    hashes = np.array([digest(whole[a:b], SEED) for a, b in zip(starts[: n - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)], "<u8")
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)]
-        counts += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    shingles = [whole[a:b] for a, b in zip(starts[: n - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
+    out = []
+    for seed in seeds:
+        hashes, counts = np.array([digest(x, seed) for x in shingles], "<u8"), np.zeros(64, np.int64)
+        for at in range(0, len(hashes), 1 << 16):
+            part = hashes[at : at + (1 << 16)]
+            counts += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0]))
+    return out
+
 
+def fingerprints(docs: DataFrame, words: int = 4, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """rid (the row's monotonically_increasing_id), doc_id, node, fp (fingerprints as signed longs) of every row.
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """rid (the row's monotonically_increasing_id), doc_id, fp (the fingerprint as a signed long) of every row."""
+    node names the fingerprints as one long: the fingerprint itself, or a mix of two.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            prints = np.array([fingerprint(t, words) for t in batch["text"]], np.uint64)
-            yield pd.DataFrame({"rid": batch["rid"], "doc_id": batch["doc_id"], "fp": prints.view(np.int64)})
+            prints = np.array([fingerprint(t, words, seeds) for t in batch["text"]], np.uint64).reshape(-1, len(seeds))
+            yield pd.DataFrame({"rid": batch["rid"], "doc_id": batch["doc_id"], "node": nodes_of(prints).view(np.int64), "fp": list(prints.view(np.int64))})
+
+    source = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), body().alias("text"))
+    return source.mapInPandas(run, "rid long, doc_id long, node long, fp array<long>")
+
+
+def nodes_of(prints: np.ndarray) -> np.ndarray:
+    node = prints[:, 0].copy()
+    for k in range(1, prints.shape[1]):
+        node = (node ^ node >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) + prints[:, k]
+    return node
 
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), body().alias("text")).mapInPandas(run, "rid long, doc_id long, fp long")
+
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
 @lru_cache(1)
@@ -105,19 +129,24 @@ def codeword_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.c_[np.ones(len(keys), bool), keys[:, 1:] != keys[:, :-1]]
 
 
+def segment_pairs(k: int) -> list[tuple[int, int]]:
+    """All pairs of the three segments of one fingerprint; the ring of neighbours of more."""
+    return list(combinations(range(3), 2)) if k == 1 else [(i, (i + 1) % (3 * k)) for i in range(3 * k)]
+
+
 def bucket_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, place in prints) of every bucket of every fingerprint (uint64)."""
+    """(bucket, place in prints) of every bucket of every row of fingerprints (n, k) of uint64."""
     own = []
-    for shift, bits in SEGMENTS:
-        keys, new = codeword_keys(prints >> np.uint64(shift) & np.uint64((1 << bits) - 1))
-        n = new.sum(1)
-        width = int(n.max()) if len(n) else 1
-        held = np.full((len(prints), width), -1, np.int64)
-        rows, _ = np.nonzero(new)
-        held[rows, np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)] = keys[new]
-        own.append(held)
+    for column in prints.T:
+        for shift, bits in SEGMENTS:
+            keys, new = codeword_keys(column >> np.uint64(shift) & np.uint64((1 << bits) - 1))
+            n = new.sum(1)
+            held = np.full((len(prints), int(n.max()) if len(n) else 1), -1, np.int64)
+            rows, _ = np.nonzero(new)
+            held[rows, np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)] = keys[new]
+            own.append(held)
     buckets, places = [], []
-    for k, (i, j) in enumerate(combinations(range(3), 2)):
+    for k, (i, j) in enumerate(segment_pairs(prints.shape[1])):
         pair = (k << 24) | (own[i][:, :, None] << 12) | own[j][:, None, :]
         rows, a, b = np.nonzero((own[i][:, :, None] >= 0) & (own[j][:, None, :] >= 0))
         buckets.append(pair[rows, a, b])
@@ -127,20 +156,18 @@ def bucket_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def run_links(own: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what the pairs within the distance join, at most one fewer than there are fingerprints."""
-    left, u, v = own, [], []
+    left, u, v = own, [own[:0]], [own[:0]]
     while len(left):
         frontier, left = [left[0]], left[1:]
         while frontier and len(left):
             seed = frontier.pop()
-            near = np.bitwise_count(left ^ seed) <= distance
+            near = differing(left, seed) <= distance
             if near.any():
-                found = left[near]
-                u.append(np.full(len(found), seed))
+                found, left = left[near], left[~near]
+                u.append(np.repeat(seed[None], len(found), 0))
                 v.append(found)
-                frontier += found.tolist()
-                frontier = [np.uint64(x) for x in frontier]
-                left = left[~near]
-    return (np.concatenate(u), np.concatenate(v)) if u else (own[:0], own[:0])
+                frontier += list(found)
+    return np.concatenate(u), np.concatenate(v)
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,8 +188,8 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bucket_links(buckets: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the links within the buckets."""
-    order = np.lexsort((prints, buckets))
+    """A forest, as nodes, of the links within the buckets. prints: (n, k)."""
+    order = np.argsort(buckets, kind="stable")
     buckets, prints = buckets[order], prints[order]
     starts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]])
     sizes = np.diff(np.r_[starts, len(buckets)])
@@ -173,28 +200,30 @@ def bucket_links(buckets: np.ndarray, prints: np.ndarray, distance: int) -> tupl
         v.append(b)
     little = np.repeat(sizes <= 32, sizes)
     buckets, prints = buckets[little], prints[little]
-    for step in range(1, 32):
-        if step >= len(buckets):
-            break
+    for step in range(1, min(32, len(buckets))):
         same = buckets[step:] == buckets[:-step]
         if not same.any():
             break
         a, b = prints[:-step][same], prints[step:][same]
-        near = np.bitwise_count(a ^ b) <= distance
+        near = differing(a, b) <= distance
         u.append(a[near])
         v.append(b[near])
-    u, v = np.concatenate(u), np.concatenate(v)
+    u, v = nodes_of(np.concatenate(u)), nodes_of(np.concatenate(v))
     return forest(u, v) if len(u) else (u, v)
 
 
-def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Links (u, v) over distinct fingerprints (column fp) that join exactly what pairs within the distance join."""
-    parts = max(8, math.ceil(prints.count() * 90 / PART))
+def links(prints: DataFrame, distance: int = DISTANCE, k: int = 1) -> DataFrame:
+    """Links (u, v) of nodes over distinct fingerprints (column fp, k of them); for k = 1 and a distance of up to 4 they
+    join exactly what all pairs within the distance join."""
+    parts = max(8, math.ceil(prints.count() * 28 * len(segment_pairs(k)) / PART))
+
+    def held(batch: pd.DataFrame, at: int) -> np.ndarray:
+        return np.array(batch["fp"].iloc[at : at + 20_000].tolist(), np.int64).reshape(-1, k).view(np.uint64)
 
     def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 20_000):
-                buckets, n = np.unique(bucket_keys(batch["fp"].to_numpy(np.int64)[at : at + 20_000].view(np.uint64))[0], return_counts=True)
+                buckets, n = np.unique(bucket_keys(held(batch, at))[0], return_counts=True)
                 often = n >= 16
                 yield pd.DataFrame({"bucket": buckets[often], "n": n[often]})
 
@@ -205,53 +234,52 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 20_000):
-                own = batch["fp"].to_numpy(np.int64)[at : at + 20_000].view(np.uint64)
+                own = held(batch, at)
                 buckets, places = bucket_keys(own)
-                held = own[places]
+                mine = own[places]
                 if hot:
                     heated = np.isin(buckets, np.fromiter(hot, np.int64, len(hot)))
-                    more_b, more_p = [buckets[~heated]], [held[~heated]]
+                    more_b, more_p = [buckets[~heated]], [mine[~heated]]
                     for bucket in np.unique(buckets[heated]).tolist():
-                        mine, g = held[buckets == bucket], hot[bucket]
-                        block = (mine * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % g
+                        inside, g = mine[buckets == bucket], hot[bucket]
+                        block = (nodes_of(inside) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % g
                         for other in range(g):
-                            a, b = np.minimum(block, other), np.maximum(block, other)
-                            more_b.append((bucket << 32) | (1 << 60) | (a << 16) | b)
-                            more_p.append(mine)
-                    buckets, held = np.concatenate(more_b), np.concatenate(more_p)
+                            more_b.append((bucket << 32) | (1 << 61) | (np.minimum(block, other) << 16) | np.maximum(block, other))
+                            more_p.append(inside)
+                    buckets, mine = np.concatenate(more_b), np.concatenate(more_p)
                 part = (buckets.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % parts
                 order = np.argsort(part, kind="stable")
-                part, buckets, held = part[order], buckets[order], held[order]
+                part, buckets, mine = part[order], buckets[order], mine[order]
                 ks, cuts = np.unique(part, return_index=True)
-                yield pd.DataFrame([(k, b.tobytes(), h.tobytes()) for k, b, h in zip(ks, np.split(buckets, cuts[1:]), np.split(held, cuts[1:]), strict=True)], columns=["part", "buckets", "prints"])
+                yield pd.DataFrame([(int(p), b.tobytes(), h.tobytes()) for p, b, h in zip(ks, np.split(buckets, cuts[1:]), np.split(mine, cuts[1:]), strict=True)], columns=["part", "buckets", "prints"])
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         buckets = np.frombuffer(b"".join(group["buckets"]), np.int64)
-        u, v = bucket_links(buckets, np.frombuffer(b"".join(group["prints"]), np.uint64), distance)
+        u, v = bucket_links(buckets, np.frombuffer(b"".join(group["prints"]), np.uint64).reshape(-1, k), distance)
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
     dealt = prints.select("fp").mapInPandas(deal, "part long, buckets binary, prints binary")
     return dealt.groupBy("part").applyInPandas(compare, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, distance: int = DISTANCE) -> DataFrame:
-    """One row per row of docs: rid, doc_id, fp (long), component_id, kept (of each component the smallest id's first row)."""
-    prints = written(fingerprints(docs, words))
+def near_duplicates(docs: DataFrame, words: int = 4, distance: int = DISTANCE, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """One row per row of docs: rid, doc_id, fp (array<long>), component_id, kept (of each component the smallest id's first row)."""
+    prints = written(fingerprints(docs, words, seeds))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
-    distinct = written(prints.groupBy("fp").agg(first))
-    joined = written(components(links(distinct, distance)))
-    rooted = distinct.join(joined, distinct.fp == joined.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    whole = written(rooted.join(rooted.groupBy("root").agg(F.min("first").alias("best")), "root").select("fp", "best"))
-    return prints.join(small(whole), "fp").select("rid", "doc_id", "fp", F.col("best.doc_id").alias("component_id"), (F.col("rid") == F.col("best.rid")).alias("kept"))
+    distinct = written(prints.groupBy("node", "fp").agg(first))
+    joined = written(components(links(distinct, distance, len(seeds)))).withColumnRenamed("node", "of")
+    rooted = distinct.join(joined, distinct.node == joined.of, "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    whole = written(rooted.join(rooted.groupBy("root").agg(F.min("first").alias("best")), "root").select("node", "best"))
+    return prints.join(small(whole), "node").select("rid", "doc_id", "fp", F.col("best.doc_id").alias("component_id"), (F.col("rid") == F.col("best.rid")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, words: int = 5, distance: int = DISTANCE) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, distance: int = WIDE_DISTANCE, seeds: tuple[int, ...] = (SEED, MORE_SEED)) -> DataFrame:
     """One row of each group of near duplicates, with docs' columns; docs is read from files, so that its rows are
     numbered alike each time."""
-    gone = small(written(near_duplicates(docs, words, distance).where(~F.col("kept")).select(F.col("rid").alias("_rid"))))
+    gone = small(written(near_duplicates(docs, words, distance, seeds).where(~F.col("kept")).select(F.col("rid").alias("_rid"))))
     return docs.withColumn("_rid", F.monotonically_increasing_id()).join(gone, "_rid", "left_anti").select(*docs.columns)
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
