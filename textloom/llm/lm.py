@@ -35,14 +35,16 @@ from textloom.llm.common import body, remainder, table, written
 
 FOLDS, TEST, HELD = 7, 2, 3
 #: Words and pairs in one part, about; bytes of text and documents in a chunk, about.
-PART, CHUNK_BYTES, CHUNK_DOCS = 1_000_000, 12_000_000, 4000
+PART, CHUNK_BYTES, CHUNK_DOCS = 1_000_000, 10_000_000, 4000
 END, START = b"\n", b"\n\n"
+#: Bits of a pair's hash that aren't kept: 56 bits tell pairs apart, which packs them into five bytes.
+DROPPED = 8
 NONE, STEP = -1000, 4.0
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Ascending uint64 values as differences of the fewest bytes."""
-    steps = np.diff(values, prepend=np.uint64(0))
+def packed(values: np.ndarray, dropped: int = 0) -> bytes:
+    """Ascending uint64 values, without so many low bits, as differences of the fewest bytes."""
+    steps = np.diff(values >> np.uint64(dropped), prepend=np.uint64(0))
     width = max(1, (int(steps[1:].max() if len(steps) > 1 else 0).bit_length() + 7) // 8)
     head = int(steps[0]).to_bytes(8, "little") if len(steps) else b""
     return bytes([width]) + head + steps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
@@ -94,33 +96,39 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 class Chunk:
-    """Arrays of a chunk: hashes of its words, and for each token its word, the word before it and its document."""
+    """Arrays of a chunk: for each token its word, the word before it and its pair; hashes of words and pairs if asked."""
 
-    def __init__(self, row):
-        self.words = np.frombuffer(row.words, "<u8")
-        sizes = np.frombuffer(row.sizes, "<u4").astype(np.int64)
-        self.tokens = np.ascontiguousarray(np.frombuffer(zlib.decompress(row.tokens), np.uint8).reshape(4, -1).T).reshape(-1).view("<u4").astype(np.int64)
-        self.starts = np.cumsum(sizes) - sizes
+    def __init__(self, row, hashed: bool = True):
+        self.sizes = np.frombuffer(row.sizes, "<u4").astype(np.int64)
+        self.tokens = np.ascontiguousarray(np.frombuffer(zlib.decompress(row.tokens), np.uint8).reshape(4, -1).T).reshape(-1).view("<i4")
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.before = np.roll(self.tokens, 1)
         self.before[self.starts] = 1
-        self.sizes = sizes
-        folds = np.frombuffer(row.folds, np.uint8)
-        self.fold = np.repeat(folds, sizes)
-        self.folds = folds
-        self.order = np.argsort(self.words)
-        local, self.pair_of = np.unique((self.before << 32) | self.tokens, return_inverse=True)
-        mixed = self.words[local >> 32] * np.uint64(0x9E3779B97F4A7C15) + self.words[local & 0xFFFFFFFF]
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(32)
-        self.pairs = mixed
-        self.pair_order = np.argsort(mixed)
+        self.folds = np.frombuffer(row.folds, np.uint8)
+        self.fold = np.repeat(self.folds, self.sizes)
+        both = (self.before.astype(np.int64) << 32) | self.tokens
+        order = np.argsort(both)
+        both = both[order]
+        new = np.r_[True, both[1:] != both[:-1]]
+        self.pair_of = np.empty(len(both), np.int32)
+        self.pair_of[order] = np.cumsum(new) - 1
+        self.n_pairs = int(new.sum())
+        if hashed:
+            self.words = np.frombuffer(row.words, "<u8")
+            self.order = np.argsort(self.words)
+            local = both[new]
+            mixed = self.words[local >> 32] * np.uint64(0x9E3779B97F4A7C15) + self.words[local & 0xFFFFFFFF]
+            mixed ^= mixed >> np.uint64(29)
+            mixed *= np.uint64(0xBF58476D1CE4E5B9)
+            mixed ^= mixed >> np.uint64(32)
+            self.pairs = mixed & ~np.uint64((1 << DROPPED) - 1)
+            self.pair_order = np.argsort(self.pairs)
 
     def counts(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the tokens chosen: how often each word and each pair comes; the place before a first word counts as a word."""
         of_words = np.bincount(self.tokens[which], minlength=len(self.words))
         of_words[1] = which[self.starts].sum()
-        return of_words, np.bincount(self.pair_of[which], minlength=len(self.pairs))
+        return of_words, np.bincount(self.pair_of[which], minlength=self.n_pairs)
 
 
 def corpus_counts(table_of_chunks: DataFrame, parts_bits: int) -> DataFrame:
@@ -136,7 +144,7 @@ def corpus_counts(table_of_chunks: DataFrame, parts_bits: int) -> DataFrame:
                 for kind, (hashes, order, a, b) in enumerate(zip((own.words, own.pairs), (own.order, own.pair_order), own.counts(train), own.counts(kept), strict=True)):
                     keys, a, b = hashes[order], a[order], b[order]
                     cuts = np.searchsorted(keys >> shift, np.arange((1 << parts_bits) + 1, dtype=np.uint64))
-                    rows += [(kind, p, row.chunk, packed(keys[x:y]), slim(a[x:y]), slim(b[x:y]), int(y - x)) for p, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+                    rows += [(kind, p, row.chunk, packed(keys[x:y], DROPPED * kind), slim(a[x:y]), slim(b[x:y]), int(y - x)) for p, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
                 yield pd.DataFrame(rows, columns=["kind", "part", "chunk", "keys", "every", "kept", "n"])
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
@@ -195,12 +203,14 @@ def em(cells: pd.DataFrame, rounds: int = 60) -> np.ndarray:
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    # A row holds a chunk of some megabytes; few of them are to be in a worker at once.
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "12m")
     whole = written(chunks(docs))
     tokens = whole.agg(F.sum("n")).first()[0] or 0
     bits = max(3, math.ceil(math.log2(tokens / PART + 1)))
     found = written(corpus_counts(whole, bits))
     v, n, kept_v, kept_n = found.where("chunk = -1 AND kind = 0").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("v", "n", "kept_v", "kept_n")]).first()
-    starts = found_starts(whole)
+    starts = starts_of(whole)
     n, kept_n, v, kept_v = n - starts[0], kept_n - starts[1], v - (starts[0] > 0), kept_v - (starts[1] > 0)
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,10 +223,10 @@ def score(docs: DataFrame) -> DataFrame:
                 c_v, c_w, c_vw = kept_words[own.before[held]], kept_words[own.tokens[held]], kept_pairs[own.pair_of[held]]
                 log = lambda top, bottom: np.where(top > 0, np.round(STEP * np.log2(np.maximum(top, 1) * (kept_v + 1.0) / np.maximum(bottom, 1))), NONE).astype(np.int64)
                 cells, times = np.unique(np.c_[buckets(c_v), log(c_vw, c_v), log(c_w, kept_n)], axis=0, return_counts=True)
-                yield pd.DataFrame([(row["doc_ids"], row["folds"], row["sizes"], row["words"], row["tokens"], zlib.compress(slim(words), 1), zlib.compress(slim(pairs), 1), np.c_[cells, times].astype("<i8").tobytes())], columns=["doc_ids", "folds", "sizes", "words", "tokens", "of_words", "of_pairs", "cells"])
+                yield pd.DataFrame([(row["doc_ids"], row["folds"], row["sizes"], len(own.words), row["tokens"], zlib.compress(slim(words), 1), zlib.compress(slim(pairs), 1), np.c_[cells, times].astype("<i8").tobytes())], columns=["doc_ids", "folds", "sizes", "n_words", "tokens", "of_words", "of_pairs", "cells"])
 
     own_counts = found.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("kind", "part", "every", "kept")).alias("found"))
-    kinds = "doc_ids array<long>, folds binary, sizes binary, words binary, tokens binary, of_words binary, of_pairs binary, cells binary"
+    kinds = "doc_ids array<long>, folds binary, sizes binary, n_words int, tokens binary, of_words binary, of_pairs binary, cells binary"
     ready = written(whole.drop("n").join(own_counts, "chunk").mapInPandas(join, kinds))
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,8 +242,8 @@ def score(docs: DataFrame) -> DataFrame:
     def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                own = Chunk(row)
-                words, pairs = wide(zlib.decompress(row.of_words), len(own.words)), wide(zlib.decompress(row.of_pairs), len(own.pairs))
+                own = Chunk(row, hashed=False)
+                words, pairs = wide(zlib.decompress(row.of_words), row.n_words), wide(zlib.decompress(row.of_pairs), own.n_pairs)
                 c_w, c_v, c_vw = words[own.tokens], words[own.before], pairs[own.pair_of]
                 mix = weights[buckets(c_v)]
                 mix[c_v == 0, 1] += mix[c_v == 0, 0]
@@ -245,7 +255,7 @@ def score(docs: DataFrame) -> DataFrame:
     return ready.drop("cells").mapInPandas(last, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def found_starts(whole: DataFrame) -> tuple[int, int]:
+def starts_of(whole: DataFrame) -> tuple[int, int]:
     """Training documents, and those of them that aren't held out; each counts once as the place before its first word."""
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
