@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import PandasUDFType, pandas_udf
 
 # Combining marks that count as parts of words (general, Devanagari, Bengali, Tamil, zero-width joiner).
 MARKS = r"̀-ͯऀ-ःऺ-ॏ॑-ॗॢॣঁ-ঃ়া-্ৗৢৣஂா-்ௗ‍"
@@ -19,11 +19,14 @@ EMAIL_MASK, PHONE_MASK, PHONE_DIGITS = "[EMAIL]", "[PHONE]", 7
 PRETOKEN = r" ?\S+|\s+"
 
 
-@pandas_udf("string")
-def nfc(text: pd.Series) -> pd.Series:
+def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t))
 
 
+def nfc(text: Column) -> Column:
+    return pandas_udf(_composed, "string", PandasUDFType.SCALAR)(text)
+
+
 def normalize(text: Column, composed: bool = False) -> Column:
     """Canonical text: composed, line feeds only, no control characters, single spaces, trimmed lines, no runs of blank lines."""
     out = text if composed else nfc(text)

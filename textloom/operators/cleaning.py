@@ -61,8 +61,9 @@ def scrubbed(docs: DataFrame) -> DataFrame:
 
 def document_grams(docs: DataFrame, n: int = GRAM) -> DataFrame:
     """id, gram: each document's distinct runs of n lower-case words."""
-    tokens = F.transform(X.words(F.col("text")), F.lower)
-    return docs.select("id", F.explode(F.array_distinct(X.grams(tokens, n))).alias("gram"))
+    # Words are a column of their own before runs are cut from it; within the cut they would be found anew for each run.
+    tokens = docs.select("id", F.transform(X.words(F.col("text")), F.lower).alias("w"))
+    return tokens.select("id", F.explode(F.array_distinct(X.grams(F.col("w"), n))).alias("gram"))
 
 
 def contamination_index(held: DataFrame, n: int = GRAM, max_doc_freq: float = MAX_DOC_FREQ) -> DataFrame:

@@ -49,8 +49,7 @@ def shards(docs: DataFrame, bos: int, eos: int, cap: int = SHARD_TOKENS) -> Data
     return out.withColumn("n_tokens", F.size("tokens").cast("long")).withColumn("n_docs", F.size("docs").cast("long")).withColumn("hash", tokens_hash(F.col("tokens")))
 
 
-@F.pandas_udf("string")
-def tokens_hash(tokens: pd.Series) -> pd.Series:
+def _hashed(tokens: pd.Series) -> pd.Series:
     def one(t) -> str:
         t = np.asarray(t, np.int64)
         if len(t) and t.max() > 0xFFFF:
@@ -60,6 +59,10 @@ def tokens_hash(tokens: pd.Series) -> pd.Series:
     return tokens.map(one)
 
 
+def tokens_hash(tokens: Column) -> Column:
+    return F.pandas_udf(_hashed, "string", F.PandasUDFType.SCALAR)(tokens)
+
+
 def iter_docs(shards_: DataFrame, split: str) -> DataFrame:
     """id, lane, tokens (without frame) of the documents of a split."""
     each = shards_.where(F.col("split") == split).select("lane", "tokens", F.explode("docs").alias("d"))

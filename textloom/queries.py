@@ -1,4 +1,387 @@
-"""All queries over the operators, and the SQL of those that SQL can express."""
+"""All queries over the operators, and the SQL of those that SQL can express.
+
+Queries run over whole tables. The SQL states an operator's meaning in other words where it can.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.functions import text as X
+from textloom.operators import cleaning as C
+from textloom.operators import packing as P
+from textloom.operators import planning as G
+from textloom.operators import surprisal as S
+from textloom.operators import tokens as K
+from textloom.plans import clean as plan
+from textloom.sources import corpus as R
+from textloom.streaming import batches as B
 
 QUERIES: dict = {}
 SQL: dict = {}
+
+CORPUS = """corpus AS (SELECT doc_id, source || '-' || lpad(CAST(doc_id AS VARCHAR), 7, '0') AS id, source AS source_id, text,
+  CASE WHEN lang = 'en' THEN CASE CAST(substr(source, 4) AS INTEGER) % 3 WHEN 0 THEN 'web' WHEN 1 THEN 'code' ELSE 'math' END WHEN lang = 'es' THEN 'indic' ELSE 'multilingual' END AS lane,
+  'T' || CAST(CAST(substr(source, 4) AS INTEGER) % 4 AS VARCHAR) AS provenance_tier, greatest(1, CAST(strlen(text) // 4 AS BIGINT)) AS est_tokens FROM documents)"""
+WORDS = r"regexp_extract_all(text, '[\p{L}\p{N}_\x{0300}-\x{036F}]+')"
+NORM = r"""trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(nfc_normalize(text), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))"""
+EVAL = """pool AS (SELECT CAST(round_even(0.015 * sum(est_tokens), 0) AS BIGINT) AS target FROM corpus),
+o AS (SELECT id, est_tokens, coalesce(sum(est_tokens) OVER (ORDER BY sha256('v5-eval-2026:' || id) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM corpus WHERE provenance_tier IN ('T0', 'T1')),
+chosen AS (SELECT id, est_tokens FROM o, pool WHERE before < target)"""
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def keep(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            SQL[name or f.__name__] = sql if sql.lstrip().startswith("WITH") else f"WITH {CORPUS} {sql}"
+        return f
+
+    return keep
+
+
+@query("SELECT id, est_tokens FROM corpus")
+def doc_est_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return R.corpus(spark, d).select("id", "est_tokens")
+
+
+@query(f"SELECT id, {NORM} AS text FROM corpus")
+def normalize_text(spark, d):
+    return R.corpus(spark, d).select("id", X.normalize(F.col("text")).alias("text"))
+
+
+@query("SELECT id, sha256(nfc_normalize(text)) AS hash FROM corpus")
+def content_hash(spark, d):
+    return R.corpus(spark, d).select("id", X.content_hash(X.nfc(F.col("text"))).alias("hash"))
+
+
+@query("SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY text ORDER BY id) AS n FROM corpus) WHERE n = 1")
+def exact_dedup_kept(spark, d):
+    return C.distinct_texts(R.corpus(spark, d)).select("id")
+
+
+@query("SELECT * FROM (SELECT id, first_value(id) OVER (PARTITION BY text ORDER BY id) AS survivor FROM corpus) WHERE id <> survivor")
+def exact_dedup_drops(spark, d):
+    return C.exact_duplicates(R.corpus(spark, d)).where("id <> survivor").select("id", "survivor")
+
+
+QUALITY = rf""", w AS (SELECT id, {WORDS} AS w, text FROM corpus),
+f AS (SELECT id, length(trim(text, ' ' || chr(10))) AS n_chars, len(w) AS n_words, length(regexp_replace(text, '\s+', '', 'g')) AS n_solid, length(regexp_replace(regexp_replace(text, '\s+', '', 'g'), '[\p{{L}}\p{{N}}_\x{{0300}}-\x{{036F}}]+', '', 'g')) AS n_symbols FROM w),
+t AS (SELECT id, max(n) AS top FROM (SELECT id, x, count(*) AS n FROM (SELECT id, lower(unnest(w)) AS x FROM w) GROUP BY ALL) GROUP BY id),
+v AS (SELECT f.id, CAST(n_chars AS BIGINT) AS n_chars, CAST(n_words AS BIGINT) AS n_words, CASE WHEN n_solid > 0 THEN n_symbols / n_solid ELSE 0.0 END AS s, CASE WHEN n_words > 0 THEN top / n_words ELSE 0.0 END AS r FROM f LEFT JOIN t USING (id)),
+verdict AS (SELECT id, n_chars, n_words, round(CAST(s AS DOUBLE), 6) AS symbol_ratio, round(CAST(r AS DOUBLE), 6) AS repetition,
+  CASE WHEN n_chars < 20 THEN 'too short' WHEN n_words < 5 THEN 'too few words' WHEN s > 0.5 THEN 'symbol-heavy' WHEN r > 0.6 THEN 'repetitive' END AS reason FROM v)"""
+
+
+@query(QUALITY + " SELECT * FROM verdict")
+def quality_verdicts(spark, d):
+    return C.quality_verdicts(R.corpus(spark, d))
+
+
+@query(QUALITY + " SELECT id FROM verdict WHERE reason IS NULL")
+def quality_kept(spark, d):
+    return C.quality_verdicts(R.corpus(spark, d)).where("reason IS NULL").select("id")
+
+
+@query(r"SELECT id, regexp_replace(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g') AS text FROM corpus")
+def pii_email_scrub(spark, d):
+    return R.corpus(spark, d).select("id", X.scrub_emails(F.col("text")).alias("text"))
+
+
+@query()
+def phone_scrub(spark, d):
+    """Rows only: the pattern looks behind, which DuckDB's doesn't; tests hold it against Python."""
+    return C.scrubbed(R.corpus(spark, d)).where("redactions > 0").select("id", "redactions", "text")
+
+
+@query(f"SELECT id, CAST(len({WORDS}) AS BIGINT) AS n_words FROM corpus")
+def word_counts(spark, d):
+    return R.corpus(spark, d).select("id", F.size(X.words(F.col("text"))).cast("long").alias("n_words"))
+
+
+def grams_sql(source: str, key: str) -> str:
+    return rf"""SELECT DISTINCT id, array_to_string(w[i : i + 12], ' ') AS gram FROM (SELECT id, w, unnest(range(1, len(w) - 11)) AS i FROM (SELECT {key} AS id, list_transform({WORDS}, lambda x: lower(x)) AS w FROM {source}))"""
+
+
+BENCH = f""", g AS ({grams_sql("benchmark", "'bench-' || lpad(CAST(item_id AS VARCHAR), 7, '0')")}),
+cap AS (SELECT greatest(1, CAST(floor(0.30 * count(*)) AS BIGINT)) AS cap FROM benchmark),
+ix AS (SELECT gram, count(*) AS n FROM g GROUP BY gram HAVING count(*) <= (SELECT cap FROM cap)),
+dg AS ({grams_sql("corpus", "id")}),
+hit AS (SELECT dg.id, CAST(count(DISTINCT dg.gram) AS BIGINT) AS overlap, min(dg.gram) AS sample_ngram, string_agg(DISTINCT g.id, ',' ORDER BY g.id) AS every FROM dg JOIN ix USING (gram) JOIN g USING (gram) GROUP BY dg.id)"""
+
+
+@query(f", g AS ({grams_sql('corpus', 'id')}) SELECT CAST(n AS BIGINT) AS df, CAST(count(*) AS BIGINT) AS grams FROM (SELECT gram, count(*) AS n FROM g GROUP BY gram) GROUP BY n")
+def ngram_df(spark, d):
+    """How many runs of words come in how many documents."""
+    return C.document_grams(R.corpus(spark, d)).groupBy("gram").agg(F.count("*").alias("df")).groupBy("df").agg(F.count("*").alias("grams"))
+
+
+@query(BENCH + " SELECT gram, CAST(n AS BIGINT) AS n_sources FROM ix")
+def contam_index(spark, d):
+    return C.contamination_index(R.benchmark(spark, d)).select("gram", F.size("sources").cast("long").alias("n_sources"))
+
+
+@query(BENCH + " SELECT id, overlap, sample_ngram, array_to_string(str_split(every, ',')[1:5], ',') AS matched FROM hit")
+def decontam_drops(spark, d):
+    return C.contaminated(R.corpus(spark, d), R.benchmark(spark, d)).select("id", "overlap", "sample_ngram", F.array_join("matched_sources", ",").alias("matched"))
+
+
+@query(BENCH + " SELECT id FROM corpus WHERE id NOT IN (SELECT id FROM hit)")
+def decontam_kept(spark, d):
+    docs = R.corpus(spark, d)
+    return docs.select("id").join(C.contaminated(docs, R.benchmark(spark, d)).select("id"), "id", "left_anti")
+
+
+@query(
+    QUALITY.replace("FROM corpus", "FROM dup_kept").replace(", w AS", ", nt AS (SELECT id, " + NORM + " AS text FROM corpus), r AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY id) AS rn FROM nt), dup_kept AS (SELECT id, text FROM r WHERE rn = 1), w AS", 1)
+    + " SELECT 'input' AS stage, CAST(count(*) AS BIGINT) AS n FROM corpus UNION ALL SELECT 'exact_dup', count(*) FROM r WHERE rn > 1 UNION ALL SELECT 'quality', count(*) FROM verdict WHERE reason IS NOT NULL"
+)
+def clean_funnel(spark, d):
+    """Normalise, exact duplicates, quality: how many documents each stage drops."""
+    docs = R.corpus(spark, d).select("id", X.normalize(F.col("text")).alias("text"))
+    docs = R.written(docs)
+    duplicates = C.exact_duplicates(docs)
+    kept = docs.join(duplicates.where("id <> survivor").select("id"), "id", "left_anti")
+    one = lambda df, stage: df.agg(F.count("*").alias("n")).select(F.lit(stage).alias("stage"), "n")
+    return one(docs, "input").unionByName(one(duplicates.where("id <> survivor"), "exact_dup")).unionByName(one(C.quality_verdicts(kept).where("reason IS NOT NULL"), "quality"))
+
+
+@query()
+def clean_pipeline(spark, d):
+    """Rows only: the whole cleaning plan with near duplicates."""
+    docs = R.corpus(spark, d)
+    _, drops = plan.clean(docs, R.benchmark(spark, d))
+    return plan.funnel(docs, drops)
+
+
+COUNTS = f", {EVAL}, routed AS (SELECT c.*, CASE WHEN e.id IS NULL THEN 'train' ELSE 'eval' END AS split FROM corpus c LEFT JOIN chosen e USING (id)), counts AS (SELECT l.lane, s.split, count(r.id) AS docs, CAST(coalesce(sum(r.est_tokens), 0) AS BIGINT) AS tokens FROM (SELECT unnest(['web', 'code', 'math', 'indic', 'multilingual']) AS lane) l CROSS JOIN (SELECT unnest(['train', 'eval']) AS split) s LEFT JOIN routed r ON r.lane = l.lane AND r.split = s.split GROUP BY ALL)"
+
+
+def routed(spark, d):
+    docs = R.corpus(spark, d)
+    return G.route(docs, G.select_eval(docs))
+
+
+@query(COUNTS + " SELECT * FROM counts")
+def corpus_counts(spark, d):
+    return G.corpus_counts(routed(spark, d))
+
+
+@query(COUNTS + " SELECT lane, CAST(sum(docs) AS BIGINT) AS docs, CAST(sum(tokens) AS BIGINT) AS tokens, round_even(sum(tokens)::DOUBLE / (SELECT sum(tokens) FROM counts)::DOUBLE, 6) AS share FROM counts GROUP BY lane")
+def corpus_summary(spark, d):
+    return G.corpus_summary(G.corpus_counts(routed(spark, d)))
+
+
+@query("SELECT id, CASE WHEN length(regexp_replace(text, '\\s+', '', 'g')) = 0 THEN 'text' WHEN doc_id % 2 = 0 AND provenance_tier NOT IN ('T0', 'T1') THEN 'eval tier' END AS violation FROM corpus")
+def validation_violations(spark, d):
+    """Documents of even number marked as evaluation data, whatever their tier."""
+    docs = R.corpus(spark, d).withColumn("split", F.when(F.col("doc_id") % 2 == 0, "eval").otherwise("train")).withColumn("source", F.col("source_id"))
+    return docs.select("id", G.violation().alias("violation"))
+
+
+@query("SELECT 'bench-' || lpad(CAST(item_id AS VARCHAR), 7, '0') AS id FROM benchmark")
+def dangling_eval_ids(spark, d):
+    """No benchmark item is a document of the corpus, so all dangle."""
+    return G.dangling(R.benchmark(spark, d), R.corpus(spark, d))
+
+
+@query(f", {EVAL} SELECT id, est_tokens FROM chosen")
+def eval_select(spark, d):
+    return G.select_eval(R.corpus(spark, d))
+
+
+@query("SELECT id, source_id, est_tokens FROM (SELECT *, coalesce(sum(est_tokens) OVER (PARTITION BY source_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(est_tokens) OVER (PARTITION BY source_id) AS whole FROM corpus) WHERE before < whole // 2")
+def token_capped_prefix(spark, d):
+    """Each source's documents until half its tokens are reached."""
+    docs = R.corpus(spark, d)
+    caps = docs.groupBy("source_id").agg(F.expr("sum(est_tokens) div 2").alias("cap"))
+    return R.capped_prefix(docs.join(caps, "source_id"), ["source_id"], "id", R.block(), "est_tokens", F.col("cap")).select("id", "source_id", "est_tokens")
+
+
+@query("SELECT id, lane, sha256(substr(text, 1, 2000)) AS hash FROM (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY id) AS n FROM corpus) WHERE n <= 300")
+def lane_sample(spark, d):
+    return K.lane_sample(R.corpus(spark, d)).select("id", "lane", X.content_hash(F.col("text")).alias("hash"))
+
+
+MIX_TOTAL = 10_000_019
+MIX = f"""WITH p AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {f}::DOUBLE, '{lane}', {w}::DOUBLE, {fl.get(lane, 0.0)}::DOUBLE)" for n, f, ws, fl in G.PHASES for lane, w in ws.items())}) t(phase, fraction, lane, weight, floor)),
+b0 AS (SELECT phase, {MIX_TOTAL}.0::DOUBLE * fraction / sum(fraction) OVER () AS x FROM (SELECT DISTINCT phase, fraction FROM p)),
+b AS (SELECT phase, CAST(floor(x) AS BIGINT) + CASE WHEN row_number() OVER (ORDER BY x - floor(x) DESC, phase) <= {MIX_TOTAL} - sum(floor(x)) OVER () THEN 1 ELSE 0 END AS budget FROM b0),
+f AS (SELECT p.*, budget, CAST(trunc(floor * budget) AS BIGINT) AS ft FROM p JOIN b USING (phase)),
+r AS (SELECT *, (budget - sum(ft) OVER (PARTITION BY phase)) AS rest FROM f),
+x AS (SELECT *, CAST(rest AS DOUBLE) * weight / sum(weight) OVER (PARTITION BY phase) AS e FROM r),
+plan AS (SELECT phase, lane, CAST(budget AS BIGINT) AS budget, CAST(ft + floor(e) + CASE WHEN row_number() OVER (PARTITION BY phase ORDER BY e - floor(e) DESC, lane) <= rest - sum(floor(e)) OVER (PARTITION BY phase) THEN 1 ELSE 0 END AS BIGINT) AS planned_tokens, x.floor AS floor, ft FROM x)"""
+MIX = MIX.replace("trunc(floor * budget)", "trunc(p.floor * budget)")
+
+
+@query(MIX + " SELECT phase, lane, budget, planned_tokens, round(planned_tokens / budget::DOUBLE, 6) AS planned_share, floor, planned_tokens >= ft AS meets_floor FROM plan")
+def mixture_plan(spark, d):
+    return G.compile_mixture(G.mixture_rows(spark), MIX_TOTAL)
+
+
+@query(MIX + f", {CORPUS}, a AS (SELECT lane, sum(est_tokens) AS tokens FROM corpus GROUP BY lane), t AS (SELECT lane, sum(planned_tokens) AS planned FROM plan GROUP BY lane) SELECT lane, CAST(coalesce(planned, 0) AS BIGINT) AS planned, CAST(coalesce(tokens, 0) AS BIGINT) AS available, coalesce(planned, 0) > coalesce(tokens, 0) AS needs_repetition FROM t FULL JOIN a USING (lane)")
+def mixture_coverage(spark, d):
+    available = R.corpus(spark, d).groupBy("lane").agg(F.sum("est_tokens").alias("tokens"))
+    return G.mixture_coverage(G.compile_mixture(G.mixture_rows(spark), MIX_TOTAL), available)
+
+
+#: What SELECTION gives each lane: a third of its tokens as target, a tenth as floor.
+SELECTION = """, lim AS (SELECT lane, sum(est_tokens) // 3 AS target, sum(est_tokens) // 10 AS floor FROM corpus GROUP BY lane),
+c AS (SELECT corpus.id, corpus.lane, est_tokens AS tokens, CASE provenance_tier WHEN 'T0' THEN 1.0 WHEN 'T1' THEN 0.9 WHEN 'T2' THEN 0.6 ELSE 0.4 END AS score, target, floor, row_number() OVER (PARTITION BY corpus.lane ORDER BY corpus.id) AS n FROM corpus JOIN lim USING (lane)),
+s AS (WITH RECURSIVE s(lane, n, id, tokens, score, total, decision, reason) AS (
+  SELECT lane, 0::BIGINT, NULL::VARCHAR, 0::BIGINT, 0.0::DOUBLE, 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR FROM lim
+  UNION ALL SELECT c.lane, c.n, c.id, c.tokens, c.score::DOUBLE, CAST(s.total + CASE WHEN s.total < c.floor OR (s.total < c.target AND c.score >= 0.5) THEN c.tokens ELSE 0 END AS BIGINT),
+    CASE WHEN s.total < c.floor THEN 'accept' WHEN s.total >= c.target THEN 'reject' WHEN c.score >= 0.5 THEN 'accept' WHEN c.score >= 0.2 THEN 'defer' ELSE 'reject' END,
+    CASE WHEN s.total < c.floor THEN 'floor_override' WHEN s.total >= c.target THEN 'lane_target_reached' WHEN c.score >= 0.5 THEN 'score>=accept' WHEN c.score >= 0.2 THEN 'marginal_score' ELSE 'score<reject' END
+  FROM s JOIN c ON c.lane = s.lane AND c.n = s.n + 1) SELECT * FROM s WHERE n > 0)"""
+
+
+def _decisions(spark, d):
+    docs = R.corpus(spark, d)
+    limits = docs.groupBy("lane").agg(F.expr("sum(est_tokens) div 3").alias("target"), F.expr("sum(est_tokens) div 10").alias("floor"))
+    return G.select(docs.select("id", "lane", F.col("est_tokens").alias("tokens"), G.tier_quality(F.col("provenance_tier")).alias("quality"), F.lit(0.0).alias("delta_s")), limits)
+
+
+@query(SELECTION + " SELECT id, lane, tokens, score, decision, reason, total AS lane_total_after FROM s")
+def select_decisions(spark, d):
+    return _decisions(spark, d).drop("delta_s")
+
+
+@query(SELECTION + " SELECT lane, count(*) FILTER (decision = 'accept') AS accept, count(*) FILTER (decision = 'reject') AS reject, count(*) FILTER (decision = 'defer') AS defer, CAST(sum(tokens) FILTER (decision = 'accept') AS BIGINT) AS accepted_tokens FROM s GROUP BY lane")
+def select_summary(spark, d):
+    return G.select_summary(_decisions(spark, d))
+
+
+@query(COUNTS + " SELECT (SELECT count(*) FROM routed WHERE split = 'train') AS n_train, (SELECT count(*) FROM chosen) AS n_eval, 0::BIGINT AS n_leaked, true AS ok")
+def firewall_audit(spark, d):
+    docs = R.written(routed(spark, d).select("id", "split"))
+    return G.firewall_audit(docs, docs.where("split = 'eval'").select("id"))
+
+
+@query(r"SELECT pretoken, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, ' ?\S+|\s+')) AS pretoken FROM corpus) GROUP BY pretoken")
+def pretoken_freq(spark, d):
+    return K.pretoken_counts(R.corpus(spark, d))
+
+
+@query(r", t AS (SELECT pretoken, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, ' ?\S+|\s+')) AS pretoken FROM corpus) GROUP BY pretoken) SELECT pair, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, substr(pretoken, unnest(range(1, length(pretoken))), 2) AS pair FROM t) GROUP BY pair")
+def char_pair_counts(spark, d):
+    return K.char_pairs(R.corpus(spark, d))
+
+
+def _bpe(spark, d):
+    docs = R.corpus(spark, d)
+    return docs, *K.train(docs, 600)
+
+
+@query()
+def bpe_encode(spark, d):
+    """Rows only: merges learnt from the lanes' samples; encoded, decoded, and whether the round trip holds."""
+    docs, vocab, merges = _bpe(spark, d)
+    ids = K.encode(docs, vocab, merges)
+    back = K.decode(ids, vocab).withColumnRenamed("text", "back")
+    return ids.select("id", F.size("tokens").alias("n")).join(back, "id").join(docs.select("id", "text"), "id").select("id", "n", (F.col("back") == F.col("text")).alias("round_trip"))
+
+
+@query(
+    ", i AS (SELECT lane, id, est_tokens AS n, row_number() OVER (PARTITION BY lane ORDER BY id) AS k FROM corpus), s AS (WITH RECURSIVE s(lane, k, id, n, bin, used) AS (SELECT lane, k, id, n, 0::BIGINT, n FROM i WHERE k = 1 UNION ALL SELECT i.lane, i.k, i.id, i.n, CASE WHEN s.used + i.n > 8192 THEN s.bin + 1 ELSE s.bin END, CASE WHEN s.used + i.n > 8192 THEN i.n ELSE s.used + i.n END FROM s JOIN i ON i.lane = s.lane AND i.k = s.k + 1) SELECT * FROM s) SELECT lane, id, n, bin FROM s"
+)
+def nextfit_bins(spark, d):
+    return P.bins(R.corpus(spark, d).select("lane", "id", F.col("est_tokens").alias("n")), ["lane"], 8192)
+
+
+def _byte_docs(spark, d):
+    """Documents with the bytes of their texts as tokens, so that SQL can follow."""
+    codes = F.transform(F.split("text", " "), lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(1000)).cast("int"))
+    return R.corpus(spark, d).select("id", "lane", "provenance_tier", F.lit("train").alias("split"), codes.alias("tokens"))
+
+
+PACK = ", i AS (SELECT lane, id, len(str_split(text, ' ')) AS whole, least(256, len(str_split(text, ' '))) AS n, row_number() OVER (PARTITION BY lane ORDER BY id) AS k FROM corpus), s AS (WITH RECURSIVE s(lane, k, id, whole, n, bin, used) AS (SELECT lane, k, id, whole, n, 0::BIGINT, n FROM i WHERE k = 1 UNION ALL SELECT i.lane, i.k, i.id, i.whole, i.n, CASE WHEN s.used + i.n > 256 THEN s.bin + 1 ELSE s.bin END, CASE WHEN s.used + i.n > 256 THEN i.n ELSE s.used + i.n END FROM s JOIN i ON i.lane = s.lane AND i.k = s.k + 1) SELECT * FROM s)"
+
+
+@query(PACK + ", q AS (SELECT lane, bin, sum(n) AS r FROM s GROUP BY ALL) SELECT count(*) AS n_sequences, count(*) * 256 AS capacity_tokens, CAST(sum(r) AS BIGINT) AS real_tokens, CAST(count(*) * 256 - sum(r) AS BIGINT) AS padding_tokens, CAST((SELECT sum(whole) FROM i) - sum(r) AS BIGINT) AS truncated_tokens, CAST(sum(r) - (SELECT count(*) FROM i) AS BIGINT) AS loss_positions, round(sum(r)::DOUBLE / (count(*) * 256)::DOUBLE, 6) AS packing_efficiency, round(sum(r)::DOUBLE / (SELECT sum(whole) FROM i)::DOUBLE, 6) AS token_yield FROM q")
+def packing_report(spark, d):
+    docs = _byte_docs(spark, d)
+    return P.packing_report(docs, P.pack(docs, keys=("lane",)))
+
+
+@query(PACK + " SELECT lane, bin AS seq, CAST(sum(n) AS BIGINT) AS n_real, CAST(sum(n) - count(*) AS BIGINT) AS loss_positions, count(*) AS n_docs FROM s GROUP BY ALL")
+def loss_mask(spark, d):
+    packed = P.pack(_byte_docs(spark, d), keys=("lane",))
+    return packed.select("lane", "seq", "n_real", F.expr("aggregate(loss_mask, 0L, (s, x) -> s + x)").alias("loss_positions"), F.size("doc_ids").cast("long").alias("n_docs"))
+
+
+def _shards(spark, d):
+    return R.written(P.shards(_byte_docs(spark, d), 1001, 1002, cap=4096))
+
+
+SHARDS = ", i AS (SELECT lane, id, len(str_split(text, ' ')) + 2 AS n, row_number() OVER (PARTITION BY lane ORDER BY id) AS k FROM corpus), s AS (WITH RECURSIVE s(lane, k, id, n, bin, used) AS (SELECT lane, k, id, n, 0::BIGINT, n FROM i WHERE k = 1 UNION ALL SELECT i.lane, i.k, i.id, i.n, CASE WHEN s.used + i.n > 4096 THEN s.bin + 1 ELSE s.bin END, CASE WHEN s.used + i.n > 4096 THEN i.n ELSE s.used + i.n END FROM s JOIN i ON i.lane = s.lane AND i.k = s.k + 1) SELECT * FROM s), q AS (SELECT lane, bin, sum(n) AS t, count(*) AS c FROM s GROUP BY ALL)"
+
+
+@query(SHARDS + " SELECT CASE WHEN grouping(lane) = 1 AND grouping(split) = 1 THEN NULL ELSE split END AS split, lane, count(*) AS shards, CAST(sum(c) AS BIGINT) AS docs, CAST(sum(t) AS BIGINT) AS tokens FROM (SELECT *, 'train' AS split FROM q) GROUP BY GROUPING SETS ((split), (lane), ())")
+def shard_index(spark, d):
+    return P.shard_index(_shards(spark, d))
+
+
+@query(SHARDS + " SELECT 'train-' || lane || '-' || lpad(CAST(bin AS VARCHAR), 4, '0') AS shard_id, bin % 2 = 0 AS ok FROM q")
+def shard_verify(spark, d):
+    """Shards of odd number are tampered with: one token of each is another than the index says."""
+    own = _shards(spark, d)
+    odd = F.pmod(F.substring_index("shard_id", "-", -1).cast("int"), F.lit(2)) == 1
+    broken = own.withColumn("tokens", F.when(odd, F.transform("tokens", lambda x, i: F.when(i == 0, x + 1).otherwise(x))).otherwise(F.col("tokens")))
+    return P.verify_shards(broken, own)
+
+
+def _stream(spark, d, **options):
+    packed = P.pack(_byte_docs(spark, d), keys=("lane",))
+    rows = packed.select("lane", F.xxhash64("lane", "seq").alias("seq"), "tokens", F.expr("aggregate(loss_mask, 0L, (s, x) -> s + x)").alias("n_loss"))
+    return B.BatchStream(R.written(rows), **options)
+
+
+@query(PACK + ", q AS (SELECT lane, count(DISTINCT bin) AS n FROM s GROUP BY lane) SELECT lane, n, n::DOUBLE / (SELECT sum(n) FROM q)::DOUBLE AS p FROM q")
+def lane_probs(spark, d):
+    return B.lane_probabilities(P.pack(_byte_docs(spark, d), keys=("lane",)))
+
+
+@query("SELECT doc_id AS batch_index, CAST(('0x' || substr(sha256('v5-batch-stream-2026:' || CAST(doc_id AS VARCHAR)), 1, 16))::UBIGINT AS VARCHAR) AS seed FROM corpus")
+def derive_seed(spark, d):
+    return R.corpus(spark, d).select(F.col("doc_id").alias("batch_index"), B.derive_seed(B.MASTER_SEED, F.col("doc_id")).cast("string").alias("seed"))
+
+
+@query()
+def batch_ledger(spark, d):
+    """Rows only: NumPy's draws can't be written in SQL; tests hold them against NumPy."""
+    return _stream(spark, d).batches(0, 32)
+
+
+@query()
+def replay_check(spark, d):
+    stream = _stream(spark, d)
+    return B.replay(stream, R.written(stream.batches(0, 16)), 4, 20)
+
+
+@query()
+def fork_lineage(spark, d):
+    return B.fork(_stream(spark, d), 8, "fork-1", 4, "branch-1")
+
+
+@query()
+def minhash_near_dups(spark, d):
+    """Rows only: signatures can't be written in SQL here; tests hold them against a sequential version."""
+    return C.near_duplicates(R.corpus(spark, d))
+
+
+@query(
+    r""", t AS (SELECT id, [x for x in str_split_regex(text, '\s+') if x <> ''] AS w FROM corpus), g AS (SELECT id, w[i] AS a, w[i + 1] AS b FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM t)),
+n AS (SELECT a, b, count(*) AS n FROM g GROUP BY ALL), m AS (SELECT a, sum(n) AS m FROM n GROUP BY a), v AS (SELECT count(DISTINCT b) AS v FROM n),
+u AS (SELECT 'bench-' || lpad(CAST(item_id AS VARCHAR), 7, '0') AS id, [x for x in str_split_regex(text, '\s+') if x <> ''] AS w FROM benchmark), h AS (SELECT id, w[i] AS a, w[i + 1] AS b FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM u)),
+p AS (SELECT id, -ln((coalesce(n, 0) + 1)::DOUBLE / (coalesce(m, 0) + v)::DOUBLE) AS s FROM h LEFT JOIN n USING (a, b) LEFT JOIN m USING (a), v) SELECT id, count(*) AS tokens, round(sum(s), 4) AS surprisal, round(sum(s) / count(*), 4) AS per_token FROM p GROUP BY id"""
+)
+def pair_surprisal(spark, d):
+    return S.pair_surprisal(R.corpus(spark, d), R.benchmark(spark, d))
+
+
+@query(COUNTS + " SELECT 'eval tier' AS \"check\", 0::BIGINT AS violations, true AS ok UNION ALL SELECT 'duplicate ids', 0, true UNION ALL SELECT 'dangling ids', 0, true")
+def audit(spark, d):
+    docs = R.written(routed(spark, d).withColumn("source", F.col("source_id")))
+    return S.audit({"eval tier": docs.where(G.violation() == "eval tier"), "duplicate ids": G.duplicate_ids(docs), "dangling ids": G.dangling(docs.where("split = 'eval'"), docs)})

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
+from textloom.operators.packing import tokens_hash
+
 MASTER_SEED, BATCH = "v5-batch-stream-2026", 8
 
 
@@ -70,12 +72,8 @@ class BatchStream:
         rows = self.slots(start, stop).join(self.placed, ["lane", "place"])
         each = rows.groupBy("batch_index").agg(F.array_sort(F.collect_list(F.struct("slot", "seq", "tokens", "n_loss"))).alias("r"))
 
-        @F.pandas_udf("string")
-        def hashed(tokens: pd.Series) -> pd.Series:
-            return tokens.map(lambda t: hashlib.sha256(np.asarray(t, np.int64).astype("<u2").tobytes()).hexdigest())
-
         flat = F.flatten(F.transform("r", lambda x: x.tokens))
-        out = each.select("batch_index", hashed(flat).alias("content_hash"), F.transform("r", lambda x: x.seq).alias("seq_indices"), F.size(flat).cast("long").alias("n_tokens"), F.expr("aggregate(r, 0L, (s, x) -> s + x.n_loss)").alias("n_loss"))
+        out = each.select("batch_index", tokens_hash(flat).alias("content_hash"), F.transform("r", lambda x: x.seq).alias("seq_indices"), F.size(flat).cast("long").alias("n_tokens"), F.expr("aggregate(r, 0L, (s, x) -> s + x.n_loss)").alias("n_loss"))
         return out.select("batch_index", F.substring("content_hash", 1, 16).alias("batch_id"), "content_hash", "seq_indices", "n_tokens", "n_loss")
 
 
