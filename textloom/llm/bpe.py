@@ -31,7 +31,7 @@ from textloom.llm.common import body, table
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TOUCHING = re.compile(r" \s|\s ").search
 #: Distinct pre-tokens remembered by a worker before it forgets them all.
-REMEMBERED = 700_000
+REMEMBERED = 300_000
 
 
 def symbols_of_bytes() -> list[str]:
@@ -197,19 +197,18 @@ class PairIndexBPE:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each whole text, as little-endian unsigned 32-bit integers."""
         out = []
-        for start in range(0, len(texts), 4000):
-            out += self._encode(texts[start : start + 4000])
+        for start in range(0, len(texts), 1500):
+            out += self._encode(texts[start : start + 1500])
         return out
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.numbers) > REMEMBERED:
             self.forget()
-        numbered = [self.groups(t) for t in texts]
+        numbered = [np.array(self.groups(t), np.int32) for t in texts]
         if new := list(islice(self.numbers, len(self.sizes), None)):
             self.learn(new)
         out = []
         for own in numbered:
-            own = np.array(own, np.int64)
             out.append(self.flat[spread(self.starts[own], self.sizes[own])].tobytes())
         return out
 
@@ -230,13 +229,15 @@ def encode(docs: DataFrame, vocabulary: str, keep_ids: bool = False) -> DataFram
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = loaded(vocabulary)
         for batch in batches:
-            for start in range(0, len(batch), 4000):
-                part = batch.iloc[start : start + 4000]
+            for start in range(0, len(batch), 1500):
+                part = batch.iloc[start : start + 1500]
                 ids = bpe.encode(part["text"].tolist())
                 out = {"doc_id": part["doc_id"], "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": map(hexed, ids), "decoded_sha256": [hexed(bpe.decode(x).encode("utf-8", "surrogatepass")) for x in ids]}
                 out |= {"ids": [np.frombuffer(x, "<i4") for x in ids]} if keep_ids else {}
                 yield pd.DataFrame({k: v if isinstance(v, pd.Series) else pd.Series(list(v), index=part.index, dtype=object if k != "n_tokens" else "int64") for k, v in out.items()})
 
+    # A worker holds a batch of texts beside its groups, so batches are to be small.
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "12m")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return docs.select(F.col("doc_id").cast("long"), body().alias("text")).mapInPandas(run, schema)
 
