@@ -39,8 +39,8 @@ from textloom.llm.components import components
 SEED, DISTANCE, SEGMENTS = 42, 4, ((0, 22), (22, 21), (43, 21))
 #: A second fingerprint's seed; differing bits of 128 at which the estimated similarity of shingle sets is still near 0.8.
 MORE_SEED, WIDE_DISTANCE = 43, 24
-#: Fingerprints of one bucket that one task compares, and keys of one part, about.
-BUCKET, PART = 20_000, 1_500_000
+#: Fingerprints of one bucket that one task compares; keys of one part, about; fingerprints whose keys are made at once.
+BUCKET, PART, ROWS = 20_000, 600_000, 6000
 
 
 def fingerprint(text: str, words: int, seeds: tuple[int, ...] = (SEED,)) -> list[int]:
@@ -218,22 +218,22 @@ def links(prints: DataFrame, distance: int = DISTANCE, k: int = 1) -> DataFrame:
     parts = max(8, math.ceil(prints.count() * 28 * len(segment_pairs(k)) / PART))
 
     def held(batch: pd.DataFrame, at: int) -> np.ndarray:
-        return np.array(batch["fp"].iloc[at : at + 20_000].tolist(), np.int64).reshape(-1, k).view(np.uint64)
+        return np.array(batch["fp"].iloc[at : at + ROWS].tolist(), np.int64).reshape(-1, k).view(np.uint64)
 
     def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 20_000):
+            for at in range(0, len(batch), ROWS):
                 buckets, n = np.unique(bucket_keys(held(batch, at))[0], return_counts=True)
-                often = n >= 16
+                often = n >= 4
                 yield pd.DataFrame({"bucket": buckets[often], "n": n[often]})
 
-    # A bucket above the limit is told by some block of 20,000 unless it has under 16 there; such are cut by the parts' own check.
+    # A bucket above the limit is told by its blocks that hold 4 of it or more.
     told = prints.select("fp").mapInPandas(tell, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > BUCKET)
     hot = {r[0]: -(-r[1] // BUCKET) for r in told.limit(100_000).collect()}
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 20_000):
+            for at in range(0, len(batch), ROWS):
                 own = held(batch, at)
                 buckets, places = bucket_keys(own)
                 mine = own[places]
