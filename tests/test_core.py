@@ -90,7 +90,7 @@ def test_batches_replay_and_tamper(spark):
     ledger = stream.batches(0, 6).cache()
     assert all(r.matched for r in B.replay(stream, ledger, 0, 6).collect())
     bad = ledger.withColumn("content_hash", F.when(F.col("batch_index") == 3, "0").otherwise(F.col("content_hash")))
-    assert [r.batch_index for r in B.replay(stream, bad, 0, 7).collect() if not r.matched] == [3, 6]
+    assert sorted(r.batch_index for r in B.replay(stream, bad, 0, 7).collect() if not r.matched) == [3, 6]
     assert B.offset(ledger) == 6 and [r.batch_index for r in B.resume(stream, ledger, 8).orderBy("batch_index").collect()] == [6, 7]
     assert B.fork(stream, 6, "other", 2, "x").first().diverged
 
