@@ -34,6 +34,18 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> Column:
+    """A number for each row of docs, the same in every scan of the same files.
+
+    Spark cuts files into splits by the cores that it has at that moment, and numbers rows by split; so that a lost or
+    added executor doesn't renumber them between two scans, the number of cores it reckons with is fixed here.
+    """
+    spark = docs.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(max(1, spark.sparkContext.defaultParallelism)))
+    return F.monotonically_increasing_id()
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it has at most ``rows`` rows, else as it is, for a shuffle join that AQE can split."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import body, small, written
+from textloom.llm.common import body, numbered, small, written
 
 #: Fingerprints that one merged filter holds, about.
 FILTER_ROWS = 250_000
@@ -100,7 +100,7 @@ def _normal():
 
 def decisions(docs: DataFrame) -> DataFrame:
     """One row per row of docs: rid (its monotonically_increasing_id), doc_id, keep_id, group_size, kept, text_sha256."""
-    normal = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.length(body()).alias("cp"), _normal().alias("t"))
+    normal = docs.select(numbered(docs).alias("rid"), "doc_id", F.length(body()).alias("cp"), _normal().alias("t"))
     slim = written(normal.select("rid", "doc_id", "cp", F.xxhash64("t").alias("fp"), F.sha2(F.col("t").cast("binary"), 256).alias("sha")))
     again = written(repeated_prints(slim))
     route = small(again.select("fp"))
@@ -129,7 +129,7 @@ def decisions(docs: DataFrame) -> DataFrame:
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with docs' columns; docs is read from files, so that its rows are numbered alike each time."""
     gone = small(written(decisions(docs).where(~F.col("kept")).select(F.col("rid").alias("_rid"))))
-    return docs.withColumn("_rid", F.monotonically_increasing_id()).join(gone, "_rid", "left_anti").select(*docs.columns)
+    return docs.withColumn("_rid", numbered(docs)).join(gone, "_rid", "left_anti").select(*docs.columns)
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:

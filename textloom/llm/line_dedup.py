@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import body, small, table, written
+from textloom.llm.common import body, numbered, small, table, written
 
 MIN_WORDS = 5
 
@@ -67,7 +67,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
 
 def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """rid (the row's monotonically_increasing_id), gone (array<int>, places of lines to delete) of rows that lose lines."""
-    lines = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.split(body(), "\n").alias("lines"))
+    lines = docs.select(numbered(docs).alias("rid"), "doc_id", F.split(body(), "\n").alias("lines"))
     rows = written(lines.select("rid", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid").alias("order"), F.transform("lines", lambda x: F.xxhash64(x)).alias("seq"), F.transform("lines", lambda x: F.size(F.split(F.trim(x), r"\s+")) >= min_words).alias("long")))
     each = rows.select("rid", "order", F.explode(F.array_distinct(F.expr("transform(filter(arrays_zip(seq, long), x -> x.long), x -> x.seq)"))).alias("line"))
     # The holder of a line is a minimum, combined before the shuffle; lines of one document only need no pair.
@@ -89,7 +89,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with deduplicated texts, and n_lines and n_removed; docs is read from files, so that its rows are numbered
     alike each time."""
     gone = written(removals(docs, min_words)).select(F.col("rid").alias("_rid"), F.col("gone").alias("_gone"))
-    joined = docs.withColumn("_rid", F.monotonically_increasing_id()).join(small(gone, 100_000), "_rid", "left")
+    joined = docs.withColumn("_rid", numbered(docs)).join(small(gone, 100_000), "_rid", "left")
     lines = F.split(body(), "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
     others = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import body, remainder, table
+from textloom.llm.common import body, numbered, remainder, table
 
 FOLDS, TEST = 3, 1
 #: Labelled rows from which the trees learn, at most.
@@ -133,7 +133,7 @@ def scored(docs: DataFrame, trees: Trees, keep: bool = False) -> DataFrame:
             chance = np.concatenate([own.predict(_measured(batch.iloc[at : at + 2000])) for at in range(0, len(batch), 2000)] or [np.zeros(0)])
             yield pd.DataFrame({"rid" if keep else "doc_id": batch.iloc[:, 0], "held_out": batch["held_out"], "score": chance, "predicted": (chance >= 0.5).astype(np.int32)})
 
-    first = F.monotonically_increasing_id().alias("rid") if keep else F.col("doc_id").cast("long")
+    first = numbered(docs).alias("rid") if keep else F.col("doc_id").cast("long")
     source = docs.select(first, (remainder(FOLDS) == TEST).alias("held_out"), body().alias("text"))
     return source.mapInPandas(run, f"{'rid' if keep else 'doc_id'} long, held_out boolean, score double, predicted int")
 
@@ -148,4 +148,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     from textloom.llm.common import small, written
 
     bad = written(scored(docs, learn(docs, labels), keep=True).where("predicted = 0").select(F.col("rid").alias("_rid")))
-    return docs.withColumn("_rid", F.monotonically_increasing_id()).join(small(bad), "_rid", "left_anti").select(*docs.columns)
+    return docs.withColumn("_rid", numbered(docs)).join(small(bad), "_rid", "left_anti").select(*docs.columns)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import body, small, table, written
+from textloom.llm.common import body, numbered, small, table, written
 from textloom.llm.components import components
 
 SEED, DISTANCE, SEGMENTS = 42, 4, ((0, 22), (22, 21), (43, 21))
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, words: int = 4, seeds: tuple[int, ...] = (SEED
             prints = np.array([fingerprint(t, words, seeds) for t in batch["text"]], np.uint64).reshape(-1, len(seeds))
             yield pd.DataFrame({"rid": batch["rid"], "doc_id": batch["doc_id"], "node": nodes_of(prints).view(np.int64), "fp": list(prints.view(np.int64))})
 
-    source = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), body().alias("text"))
+    source = docs.select(numbered(docs).alias("rid"), F.col("doc_id").cast("long"), body().alias("text"))
     return source.mapInPandas(run, "rid long, doc_id long, node long, fp array<long>")
 
 
@@ -277,7 +277,7 @@ def keep_one(docs: DataFrame, words: int = 5, distance: int = WIDE_DISTANCE, see
     """One row of each group of near duplicates, with docs' columns; docs is read from files, so that its rows are
     numbered alike each time."""
     gone = small(written(near_duplicates(docs, words, distance, seeds).where(~F.col("kept")).select(F.col("rid").alias("_rid"))))
-    return docs.withColumn("_rid", F.monotonically_increasing_id()).join(gone, "_rid", "left_anti").select(*docs.columns)
+    return docs.withColumn("_rid", numbered(docs)).join(gone, "_rid", "left_anti").select(*docs.columns)
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
