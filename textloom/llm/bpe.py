@@ -25,13 +25,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import body, table
+from textloom.llm.common import body, release, slim_batches, table
 
 #: Fixed value: how byte-level vocabularies of this kind part text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TOUCHING = re.compile(r" \s|\s ").search
 #: Distinct pre-tokens remembered by a worker before it forgets them all.
 REMEMBERED = 300_000
+#: Texts, and about how many characters, whose new pre-tokens are indexed at once.
+TEXTS, CHARACTERS = 1500, 2_000_000
 
 
 def symbols_of_bytes() -> list[str]:
@@ -196,10 +198,14 @@ class PairIndexBPE:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each whole text, as little-endian unsigned 32-bit integers."""
-        out = []
-        for start in range(0, len(texts), 1500):
-            out += self._encode(texts[start : start + 1500])
-        return out
+        out, own, size = [], [], 0
+        for text in texts:
+            own.append(text)
+            size += len(text)
+            if len(own) >= TEXTS or size >= CHARACTERS:
+                out += self._encode(own)
+                own, size = [], 0
+        return out + self._encode(own)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.numbers) > REMEMBERED:
@@ -229,15 +235,17 @@ def encode(docs: DataFrame, vocabulary: str, keep_ids: bool = False) -> DataFram
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = loaded(vocabulary)
         for batch in batches:
-            for start in range(0, len(batch), 1500):
-                part = batch.iloc[start : start + 1500]
+            for start in range(0, len(batch), TEXTS):
+                part = batch.iloc[start : start + TEXTS]
                 ids = bpe.encode(part["text"].tolist())
                 out = {"doc_id": part["doc_id"], "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": map(hexed, ids), "decoded_sha256": [hexed(bpe.decode(x).encode("utf-8", "surrogatepass")) for x in ids]}
                 out |= {"ids": [np.frombuffer(x, "<i4") for x in ids]} if keep_ids else {}
                 yield pd.DataFrame({k: v if isinstance(v, pd.Series) else pd.Series(list(v), index=part.index, dtype=object if k != "n_tokens" else "int64") for k, v in out.items()})
+        bpe.forget()
+        release()
 
     # A worker holds a batch of texts beside its groups, so batches are to be small.
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "12m")
+    slim_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return docs.select(F.col("doc_id").cast("long"), body().alias("text")).mapInPandas(run, schema)
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,19 @@ def numbered(docs: DataFrame) -> Column:
     return F.monotonically_increasing_id()
 
 
+def slim_batches(spark: SparkSession) -> None:
+    """Has workers get whole texts in small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "6m")
+
+
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to the system; the worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it has at most ``rows`` rows, else as it is, for a shuffle join that AQE can split."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

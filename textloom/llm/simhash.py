@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import body, numbered, small, table, written
+from textloom.llm.common import body, numbered, release, slim_batches, small, table, written
 from textloom.llm.components import components
 
 SEED, DISTANCE, SEGMENTS = 42, 4, ((0, 22), (22, 21), (43, 21))
@@ -76,7 +76,9 @@ def fingerprints(docs: DataFrame, words: int = 4, seeds: tuple[int, ...] = (SEED
         for batch in batches:
             prints = np.array([fingerprint(t, words, seeds) for t in batch["text"]], np.uint64).reshape(-1, len(seeds))
             yield pd.DataFrame({"rid": batch["rid"], "doc_id": batch["doc_id"], "node": nodes_of(prints).view(np.int64), "fp": list(prints.view(np.int64))})
+        release()
 
+    slim_batches(docs.sparkSession)
     source = docs.select(numbered(docs).alias("rid"), F.col("doc_id").cast("long"), body().alias("text"))
     return source.mapInPandas(run, "rid long, doc_id long, node long, fp array<long>")
 
@@ -226,6 +228,7 @@ def links(prints: DataFrame, distance: int = DISTANCE, k: int = 1) -> DataFrame:
                 buckets, n = np.unique(bucket_keys(held(batch, at))[0], return_counts=True)
                 often = n >= 4
                 yield pd.DataFrame({"bucket": buckets[often], "n": n[often]})
+        release()
 
     # A bucket above the limit is told by its blocks that hold 4 of it or more.
     told = prints.select("fp").mapInPandas(tell, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > BUCKET)
@@ -252,10 +255,12 @@ def links(prints: DataFrame, distance: int = DISTANCE, k: int = 1) -> DataFrame:
                 part, buckets, mine = part[order], buckets[order], mine[order]
                 ks, cuts = np.unique(part, return_index=True)
                 yield pd.DataFrame([(int(p), b.tobytes(), h.tobytes()) for p, b, h in zip(ks, np.split(buckets, cuts[1:]), np.split(mine, cuts[1:]), strict=True)], columns=["part", "buckets", "prints"])
+        release()
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         buckets = np.frombuffer(b"".join(group["buckets"]), np.int64)
         u, v = bucket_links(buckets, np.frombuffer(b"".join(group["prints"]), np.uint64).reshape(-1, k), distance)
+        release()
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
     dealt = prints.select("fp").mapInPandas(deal, "part long, buckets binary, prints binary")
