@@ -164,3 +164,39 @@ def test_trees_learn():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
     assert ((quality.Trees.fit(x[:400], y[:400]).predict(x[400:]) > 0.5) == y[400:]).mean() > 0.9
     assert quality.Trees.fit(x[:0], y[:0]).predict(x[:2]).tolist() == [0.5, 0.5]
+
+
+def test_near_copies_by_similarity(spark, tmp_path):
+    """Groups are the components of pairs at 0.8 or more; documents below it stay."""
+    rng = random.Random(8)
+    rows, k = [], 0
+    for _ in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([8, 40, 200]))]
+        for share in (0, 0.01, 0.05, 0.1):
+            own = [f"x{rng.randrange(5000)}" if rng.random() < share else w for w in base]
+            rows.append((k := k + 1, " ".join(own), "a"))
+    rows += [(900, None, None), (901, "", "b"), (902, "a b c " * 50, "c"), (903, "a b c " * 60, "c")]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for i, t, _ in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    pairs = [(a, b) for a in sets for b in sets if a < b and (len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))]
+    for a, b in pairs:
+        if find(a) != find(b):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame(spark, tmp_path, rows), 5, simhash.WIDE_DISTANCE, (simhash.SEED, simhash.MORE_SEED), 0.8).collect()}
+    assert all(find(i) == find(c) for i, c in got.items())
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs) and len(pairs) > 60
+
+
+def test_nearest_forest_spans_what_pairs_join():
+    rng = np.random.default_rng(9)
+    own = np.unique(np.concatenate([(x := rng.integers(0, 1 << 63, 1, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 30).astype(np.uint64)) for _ in range(4)]))[:, None]
+    u, v = simhash.nearest_links(own, 2)
+    assert len(u) == len(own) - 4 and (simhash.differing(u, v) <= 2).all()
+    a, b = simhash.nearest_forest(simhash.nodes_of(u), simhash.nodes_of(v), simhash.differing(u, v))
+    assert len(a) == len(u)

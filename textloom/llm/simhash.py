@@ -12,8 +12,10 @@ fingerprints gives at most m - 1 links, never all its pairs, and bucket links ar
 Buckets above BUCKET fingerprints are cut into blocks and each pair of blocks is a bucket of its own, in its own task.
 
 Near duplicates of word shingles at a similarity of 0.8 differ in some 15 % of the bits, more than 64 bits can find.
-``keep_one`` therefore takes two fingerprints (128 bits, six segments), buckets by the six pairs of neighbouring
-segments, and links at WIDE_DISTANCE differing bits; there buckets find most links at that similarity, not all.
+``keep_one`` therefore takes two fingerprints of the distinct shingles (128 bits, six segments), buckets by the six pairs
+of neighbouring segments, and takes WIDE_DISTANCE differing bits as a candidate. Candidates are thinned to forests of
+nearest neighbours, a bucket and then a part at a time, and the shingle sets of each are compared exactly: no link below
+the similarity stands, and buckets find most links at it, not all. Equal pairs of fingerprints count as equal sets.
 
 Defined cases: a null text is the empty text; texts without a word have fingerprint zero and link like any other;
 texts of fewer words than a shingle are one shingle; rows that repeat share a fingerprint; null ids are carried along
@@ -37,25 +39,45 @@ from textloom.llm.common import body, numbered, release, slim_batches, small, ta
 from textloom.llm.components import components
 
 SEED, DISTANCE, SEGMENTS = 42, 4, ((0, 22), (22, 21), (43, 21))
-#: A second fingerprint's seed; differing bits of 128 at which the estimated similarity of shingle sets is still near 0.8.
-MORE_SEED, WIDE_DISTANCE = 43, 24
+#: A second fingerprint's seed; differing bits of 128 up to which shingle sets may have the similarity.
+MORE_SEED, WIDE_DISTANCE = 43, 28
+SIMILARITY = 0.8
 #: Fingerprints of one bucket that one task compares; keys of one part, about; fingerprints whose keys are made at once.
 BUCKET, PART, ROWS = 20_000, 600_000, 6000
 
 
-def fingerprint(text: str, words: int, seeds: tuple[int, ...] = (SEED,)) -> list[int]:
-    """Of each seed, the bits that are set in over half the hashes of the text's shingles; whole text, repeats included."""
+def shingles_of(text: str, words: int) -> list[bytes]:
+    """Runs of so many words of the whole text, repeats included; of a text of fewer words the whole sequence, if any."""
     tokens = text.encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return [0] * len(seeds)
     whole, n = b" ".join(tokens), len(tokens)
-    digest = xxhash.xxh64_intdigest
     if n <= words:
-        return [digest(whole, seed) for seed in seeds]
+        return [whole] if n else []
     sizes = np.fromiter(map(len, tokens), np.int64, n) + 1
     ends = np.cumsum(sizes) - 1
     starts = ends - sizes + 1
-    shingles = [whole[a:b] for a, b in zip(starts[: n - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
+    return [whole[a:b] for a, b in zip(starts[: n - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
+
+
+def shingle_set(text: str, words: int) -> bytes:
+    """The distinct shingles as sorted hashes of 32 bits."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) & 0xFFFFFFFF for x in shingles_of(text, words)], "<u4")).tobytes()
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Of two shingle sets; two empty ones are equal."""
+    a, b = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def fingerprint(text: str, words: int, seeds: tuple[int, ...] = (SEED,), distinct: bool = False) -> list[int]:
+    """Of each seed, the bits that are set in over half the hashes of the text's shingles; whole text, repeats included
+    unless ``distinct``."""
+    shingles, digest = shingles_of(text, words), xxhash.xxh64_intdigest
+    if not shingles:
+        return [0] * len(seeds)
+    if distinct:
+        shingles = list(set(shingles))
     out = []
     for seed in seeds:
         hashes, counts = np.array([digest(x, seed) for x in shingles], "<u8"), np.zeros(64, np.int64)
@@ -66,7 +88,7 @@ def fingerprint(text: str, words: int, seeds: tuple[int, ...] = (SEED,)) -> list
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 4, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 4, seeds: tuple[int, ...] = (SEED,), distinct: bool = False) -> DataFrame:
     """rid (the row's monotonically_increasing_id), doc_id, node, fp (fingerprints as signed longs) of every row.
 
     node names the fingerprints as one long: the fingerprint itself, or a mix of two.
@@ -74,7 +96,7 @@ def fingerprints(docs: DataFrame, words: int = 4, seeds: tuple[int, ...] = (SEED
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            prints = np.array([fingerprint(t, words, seeds) for t in batch["text"]], np.uint64).reshape(-1, len(seeds))
+            prints = np.array([fingerprint(t, words, seeds, distinct) for t in batch["text"]], np.uint64).reshape(-1, len(seeds))
             yield pd.DataFrame({"rid": batch["rid"], "doc_id": batch["doc_id"], "node": nodes_of(prints).view(np.int64), "fp": list(prints.view(np.int64))})
         release()
 
@@ -189,15 +211,61 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[hung], nodes[label[hung]]
 
 
-def bucket_links(buckets: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest, as nodes, of the links within the buckets. prints: (n, k)."""
+def nearest_links(own: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of least distances over the fingerprints, of links within the distance."""
+    left, near = own[1:].copy(), own[1:].copy()
+    best, last, u, v = np.full(len(left), 1 << 30), own[0], [own[:0]], [own[:0]]
+    while len(left):
+        d = differing(left, last)
+        closer = d < best
+        best[closer], near[closer] = d[closer], last
+        at = int(best.argmin())
+        last = left[at].copy()
+        if best[at] <= distance:
+            u.append(near[at : at + 1].copy())
+            v.append(last[None])
+        for x in (left, near, best):
+            x[at] = x[-1]
+        left, near, best = left[:-1], near[:-1], best[:-1]
+    return np.concatenate(u), np.concatenate(v)
+
+
+def nearest_forest(u: np.ndarray, v: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links between nodes, those of a spanning forest of least distances d: each tree takes its nearest link to another."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    rank = np.empty(len(u), np.int64)
+    order = np.lexsort((v, u, d))
+    rank[order] = np.arange(len(u))
+    label, taken = np.arange(len(nodes)), [order[:0]]
+    while (apart := label[a] != label[b]).any():
+        best = np.full(len(nodes), len(u))
+        for side in (a, b):
+            np.minimum.at(best, label[side[apart]], rank[apart])
+        new = order[np.unique(best[best < len(u)])]
+        taken.append(new)
+        x, y = label[a[new]], label[b[new]]
+        own = np.arange(len(nodes))
+        while (own[x] != own[y]).any():
+            least = np.minimum(own[x], own[y])
+            np.minimum.at(own, x, least)
+            np.minimum.at(own, y, least)
+            own = own[own]
+        label = own[label]
+    chosen = np.concatenate(taken)
+    return u[chosen], v[chosen]
+
+
+def bucket_links(buckets: np.ndarray, prints: np.ndarray, distance: int, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A forest, as nodes, of the links within the buckets; with ``nearest`` each is a pair within the distance, and they
+    are the nearest ones. prints: (n, k)."""
     order = np.argsort(buckets, kind="stable")
     buckets, prints = buckets[order], prints[order]
     starts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]])
     sizes = np.diff(np.r_[starts, len(buckets)])
     u, v = [prints[:0]], [prints[:0]]
     for at in np.flatnonzero(sizes > 32):
-        a, b = run_links(prints[starts[at] : starts[at] + sizes[at]], distance)
+        a, b = (nearest_links if nearest else run_links)(prints[starts[at] : starts[at] + sizes[at]], distance)
         u.append(a)
         v.append(b)
     little = np.repeat(sizes <= 32, sizes)
@@ -210,13 +278,16 @@ def bucket_links(buckets: np.ndarray, prints: np.ndarray, distance: int) -> tupl
         near = differing(a, b) <= distance
         u.append(a[near])
         v.append(b[near])
-    u, v = nodes_of(np.concatenate(u)), nodes_of(np.concatenate(v))
+    u, v = np.concatenate(u), np.concatenate(v)
+    d, u, v = differing(u, v), nodes_of(u), nodes_of(v)
+    if nearest:
+        return nearest_forest(np.minimum(u, v), np.maximum(u, v), d)
     return forest(u, v) if len(u) else (u, v)
 
 
-def links(prints: DataFrame, distance: int = DISTANCE, k: int = 1) -> DataFrame:
+def links(prints: DataFrame, distance: int = DISTANCE, k: int = 1, nearest: bool = False) -> DataFrame:
     """Links (u, v) of nodes over distinct fingerprints (column fp, k of them); for k = 1 and a distance of up to 4 they
-    join exactly what all pairs within the distance join."""
+    join exactly what all pairs within the distance join. With ``nearest`` each is a pair within the distance."""
     parts = max(8, math.ceil(prints.count() * 28 * len(segment_pairs(k)) / PART))
 
     def held(batch: pd.DataFrame, at: int) -> np.ndarray:
@@ -259,7 +330,7 @@ def links(prints: DataFrame, distance: int = DISTANCE, k: int = 1) -> DataFrame:
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         buckets = np.frombuffer(b"".join(group["buckets"]), np.int64)
-        u, v = bucket_links(buckets, np.frombuffer(b"".join(group["prints"]), np.uint64).reshape(-1, k), distance)
+        u, v = bucket_links(buckets, np.frombuffer(b"".join(group["prints"]), np.uint64).reshape(-1, k), distance, nearest)
         release()
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
@@ -267,21 +338,51 @@ def links(prints: DataFrame, distance: int = DISTANCE, k: int = 1) -> DataFrame:
     return dealt.groupBy("part").applyInPandas(compare, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, distance: int = DISTANCE, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
-    """One row per row of docs: rid, doc_id, fp (array<long>), component_id, kept (of each component the smallest id's first row)."""
-    prints = written(fingerprints(docs, words, seeds))
+def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of links (u, v), those whose texts' sets of shingles have the similarity. nodes: node, first.rid (a row with that text)."""
+    pairs = written(pairs.distinct())
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select("node", F.col("first.rid").alias("_rid"))
+    texts = docs.select(numbered(docs).alias("_rid"), body().alias("text")).join(small(written(asked)), "_rid").select("node", "text")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["node"], "own": [shingle_set(t, words) for t in batch["text"]]})
+        release()
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [jaccard(a, b) >= similarity for a, b in zip(batch["a"], batch["b"], strict=True)]
+            yield batch[["u", "v"]][np.array(found, bool)]
+        release()
+
+    sets = written(texts.mapInPandas(cut, "node long, own binary"))
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
+    return both.select("u", "v", "a", "b").mapInPandas(compare, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, distance: int = DISTANCE, seeds: tuple[int, ...] = (SEED,), similarity: float | None = None) -> DataFrame:
+    """One row per row of docs: rid, doc_id, fp (array<long>), component_id, kept (of each component the smallest id's first row).
+
+    With a similarity, fingerprints are of distinct shingles, and links are pairs within the distance whose sets of
+    shingles have it.
+    """
+    exact = similarity is not None
+    prints = written(fingerprints(docs, words, seeds, exact))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
     distinct = written(prints.groupBy("node", "fp").agg(first))
-    joined = written(components(links(distinct, distance, len(seeds)))).withColumnRenamed("node", "of")
+    found = links(distinct, distance, len(seeds), exact)
+    if exact:
+        found = alike(found, distinct, docs, words, similarity)
+    joined = written(components(found)).withColumnRenamed("node", "of")
     rooted = distinct.join(joined, distinct.node == joined.of, "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     whole = written(rooted.join(rooted.groupBy("root").agg(F.min("first").alias("best")), "root").select("node", "best"))
     return prints.join(small(whole), "node").select("rid", "doc_id", "fp", F.col("best.doc_id").alias("component_id"), (F.col("rid") == F.col("best.rid")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, words: int = 5, distance: int = WIDE_DISTANCE, seeds: tuple[int, ...] = (SEED, MORE_SEED)) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, distance: int = WIDE_DISTANCE, seeds: tuple[int, ...] = (SEED, MORE_SEED)) -> DataFrame:
     """One row of each group of near duplicates, with docs' columns; docs is read from files, so that its rows are
     numbered alike each time."""
-    gone = small(written(near_duplicates(docs, words, distance, seeds).where(~F.col("kept")).select(F.col("rid").alias("_rid"))))
+    gone = small(written(near_duplicates(docs, words, distance, seeds, similarity).where(~F.col("kept")).select(F.col("rid").alias("_rid"))))
     return docs.withColumn("_rid", numbered(docs)).join(gone, "_rid", "left_anti").select(*docs.columns)
 
 
