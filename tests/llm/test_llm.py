@@ -200,3 +200,23 @@ def test_nearest_forest_spans_what_pairs_join():
     assert len(u) == len(own) - 4 and (simhash.differing(u, v) <= 2).all()
     a, b = simhash.nearest_forest(simhash.nodes_of(u), simhash.nodes_of(v), simhash.differing(u, v))
     assert len(a) == len(u)
+
+
+@pytest.mark.parametrize("group", [16 << 20, 200_000])
+def test_copies_around_one_base_all_join_it(spark, tmp_path, monkeypatch, group):
+    """Copies that are nearer to each other in bits than to the base, but alike to the base only, are all dropped."""
+    monkeypatch.setattr(simhash, "GROUP", group, raising=False)
+    rng = random.Random(10)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(1, " ".join(base), "a")]
+    for k in range(1000):
+        own = list(base)
+        for at in rng.sample(range(0, 200, 5), 4):
+            own[at] = f"x{rng.randrange(10**6)}"
+        rows.append((k + 2, " ".join(own), "a"))
+    cut = lambda t: {tuple(t.split()[k : k + 5]) for k in range(196)}
+    sets = {i: cut(t) for i, t, _ in rows}
+    due = {i for i in sets if i > 1 and len(sets[i] & sets[1]) >= 0.8 * len(sets[i] | sets[1])}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame(spark, tmp_path, rows), 5, simhash.WIDE_DISTANCE, (simhash.SEED, simhash.MORE_SEED), 0.8).collect()}
+    joined = sum(got[i] == 1 for i in due)
+    assert len(due) == 1000 and joined >= 0.99 * len(due)

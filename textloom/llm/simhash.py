@@ -13,9 +13,11 @@ Buckets above BUCKET fingerprints are cut into blocks and each pair of blocks is
 
 Near duplicates of word shingles at a similarity of 0.8 differ in some 15 % of the bits, more than 64 bits can find.
 ``keep_one`` therefore takes two fingerprints of the distinct shingles (128 bits, six segments), buckets by the six pairs
-of neighbouring segments, and takes WIDE_DISTANCE differing bits as a candidate. Candidates are thinned to forests of
-nearest neighbours, a bucket and then a part at a time, and the shingle sets of each are compared exactly: no link below
-the similarity stands, and buckets find most links at it, not all. Equal pairs of fingerprints count as equal sets.
+of neighbouring segments, and takes WIDE_DISTANCE differing bits as a candidate. Candidates, thinned to forests, only tell
+which texts are connected; the shingle sets of all texts of a component are then compared exactly, whatever candidates were
+thinned out. Components above GROUP bytes are cut into blocks, and each pair of blocks is compared in its own task. Links
+are thinned after the comparison: no link below the similarity stands, and none between connected texts is lost. Buckets
+connect most texts at the similarity, not all. Equal pairs of fingerprints count as equal sets.
 
 Defined cases: a null text is the empty text; texts without a word have fingerprint zero and link like any other;
 texts of fewer words than a shingle are one shingle; rows that repeat share a fingerprint; null ids are carried along
@@ -44,6 +46,8 @@ MORE_SEED, WIDE_DISTANCE = 43, 28
 SIMILARITY = 0.8
 #: Fingerprints of one bucket that one task compares; keys of one part, about; fingerprints whose keys are made at once.
 BUCKET, PART, ROWS = 20_000, 600_000, 6000
+#: Bytes of shingle sets that one task compares.
+GROUP = 16 << 20
 
 
 def shingles_of(text: str, words: int) -> list[bytes]:
@@ -63,13 +67,6 @@ def shingle_set(text: str, words: int) -> bytes:
     return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) & 0xFFFFFFFF for x in shingles_of(text, words)], "<u4")).tobytes()
 
 
-def jaccard(a: bytes, b: bytes) -> float:
-    """Of two shingle sets; two empty ones are equal."""
-    a, b = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
-
-
 def fingerprint(text: str, words: int, seeds: tuple[int, ...] = (SEED,), distinct: bool = False) -> list[int]:
     """Of each seed, the bits that are set in over half the hashes of the text's shingles; whole text, repeats included
     unless ``distinct``."""
@@ -338,33 +335,65 @@ def links(prints: DataFrame, distance: int = DISTANCE, k: int = 1, nearest: bool
     return dealt.groupBy("part").applyInPandas(compare, "u long, v long")
 
 
+def set_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (places in sets) that join what all pairs with the similarity join, at most one fewer than there are sets.
+
+    A seed is compared with all sets at once, by the holders of each of its hashes; what it reaches is taken out.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    ends = np.cumsum(sizes)
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    holder = np.repeat(np.arange(len(sets)), sizes)[np.argsort(token, kind="stable")]
+    held = np.bincount(token)
+    first = np.cumsum(held) - held
+    left, u, v = np.ones(len(sets), bool), [ends[:0]], [ends[:0]]
+    for start in range(len(sets)):
+        frontier = [start] if left[start] else []
+        left[start] = False
+        while frontier and left.any():
+            seed = frontier.pop()
+            own = token[ends[seed] - sizes[seed] : ends[seed]]
+            n = held[own]
+            at = np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both = np.bincount(holder[at], minlength=len(sets))
+            union = sizes + sizes[seed] - both
+            found = np.flatnonzero(left & ((both / np.maximum(union, 1) >= similarity) | (union == 0)))
+            left[found] = False
+            u.append(np.full(len(found), seed))
+            v.append(found)
+            frontier += found.tolist()
+    return np.concatenate(u), np.concatenate(v)
+
+
 def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Of links (u, v), those whose texts' sets of shingles have the similarity. nodes: node, first.rid (a row with that text)."""
-    pairs = written(pairs.distinct())
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select("node", F.col("first.rid").alias("_rid"))
-    texts = docs.select(numbered(docs).alias("_rid"), body().alias("text")).join(small(written(asked)), "_rid").select("node", "text")
+    """Links (u, v) that join what all pairs with the similarity join, of texts that the candidates (u, v) connect.
+    nodes: node, first.rid (a row with that text)."""
+    asked = components(pairs).join(nodes, "node").select("node", "root", F.col("first.rid").alias("_rid"))
+    texts = docs.select(numbered(docs).alias("_rid"), body().alias("text")).join(small(written(asked)), "_rid").select("node", "root", "text")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "own": [shingle_set(t, words) for t in batch["text"]]})
+            yield pd.DataFrame({"node": batch["node"], "root": batch["root"], "own": [shingle_set(t, words) for t in batch["text"]]})
         release()
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [jaccard(a, b) >= similarity for a, b in zip(batch["a"], batch["b"], strict=True)]
-            yield batch[["u", "v"]][np.array(found, bool)]
-        release()
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        u, v = set_links([np.frombuffer(x, "<u4") for x in group["own"]], similarity)
+        node = group["node"].to_numpy()
+        return pd.DataFrame({"u": node[u], "v": node[v]})
 
-    sets = written(texts.mapInPandas(cut, "node long, own binary"))
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInPandas(compare, "u long, v long")
+    sets = written(texts.mapInPandas(cut, "node long, root long, own binary"))
+    # A component above the limit is cut into blocks of half of it; each pair of blocks is a group.
+    many = sets.groupBy("root").agg(F.sum(F.length("own")).alias("size")).where(F.col("size") > GROUP).select("root", F.ceil(2 * F.col("size") / GROUP).cast("int").alias("g"))
+    dealt = sets.join(small(written(many)), "root", "left").withColumn("g", F.coalesce("g", F.lit(1))).withColumn("x", F.pmod(F.xxhash64("node"), "g").cast("int"))
+    dealt = dealt.withColumn("y", F.explode(F.expr("filter(sequence(0, g - 1), o -> o <> x or g = 1)")))
+    return dealt.groupBy("root", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).applyInPandas(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = DISTANCE, seeds: tuple[int, ...] = (SEED,), similarity: float | None = None) -> DataFrame:
     """One row per row of docs: rid, doc_id, fp (array<long>), component_id, kept (of each component the smallest id's first row).
 
-    With a similarity, fingerprints are of distinct shingles, and links are pairs within the distance whose sets of
-    shingles have it.
+    With a similarity, fingerprints are of distinct shingles, and links are pairs whose sets of shingles have it, among
+    texts that pairs within the distance connect.
     """
     exact = similarity is not None
     prints = written(fingerprints(docs, words, seeds, exact))
