@@ -220,3 +220,31 @@ def test_copies_around_one_base_all_join_it(spark, tmp_path, monkeypatch, group)
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame(spark, tmp_path, rows), 5, simhash.WIDE_DISTANCE, (simhash.SEED, simhash.MORE_SEED), 0.8).collect()}
     joined = sum(got[i] == 1 for i in due)
     assert len(due) == 1000 and joined >= 0.99 * len(due)
+
+
+def test_pairs_of_128_bits_meet_in_a_bucket(spark, monkeypatch):
+    """Of pairs that differ in 14.5 % of the bits, as at a similarity of 0.8, 97 % meet; links join all that meet, hot or not."""
+    rng = np.random.default_rng(11)
+    a = rng.integers(0, 1 << 63, (2000, 2), dtype=np.uint64)
+    b = a ^ np.packbits(rng.random((2000, 128)) < 0.145, axis=1).view("<u8")
+    near = simhash.differing(a, b) <= simhash.WIDE_DISTANCE
+    a, b = a[near], b[near]
+    keys = []
+    for x in (a, b):
+        buckets, places = simhash.bucket_keys(x)
+        keys.append(set(zip(buckets.tolist(), places.tolist(), strict=True)))
+    met = {i for _, i in keys[0] & keys[1]}
+    assert len(met) >= 0.97 * len(a) > 1700
+    prints = spark.createDataFrame([(x,) for x in np.concatenate([a, b]).view(np.int64).tolist()], "fp array<long>")
+    want = {tuple(sorted(x)) for x in zip(*(simhash.nodes_of(x[sorted(met)]).view(np.int64).tolist() for x in (a, b)), strict=True)}
+    got = {tuple(sorted((r.u, r.v))) for r in simhash.links(prints, simhash.WIDE_DISTANCE, 2, True).collect()}
+    assert got == want
+
+
+def test_hot_buckets_of_128_bits_join_all(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 8)
+    rng = np.random.default_rng(12)
+    own = rng.integers(0, 1 << 63, (1, 2), dtype=np.uint64) ^ np.packbits(rng.random((60, 128)) < 0.02, axis=1).view("<u8")
+    prints = spark.createDataFrame([(x,) for x in own.view(np.int64).tolist()], "fp array<long>").distinct()
+    got = simhash.components(simhash.links(prints, simhash.WIDE_DISTANCE, 2, True)).collect()
+    assert len(got) == prints.count() > 40 and len({r.root for r in got}) == 1

@@ -12,8 +12,8 @@ fingerprints gives at most m - 1 links, never all its pairs, and bucket links ar
 Buckets above BUCKET fingerprints are cut into blocks and each pair of blocks is a bucket of its own, in its own task.
 
 Near duplicates of word shingles at a similarity of 0.8 differ in some 15 % of the bits, more than 64 bits can find.
-``keep_one`` therefore takes two fingerprints of the distinct shingles (128 bits, six segments), buckets by the six pairs
-of neighbouring segments, and takes WIDE_DISTANCE differing bits as a candidate. Candidates, thinned to forests, only tell
+``keep_one`` therefore takes two fingerprints of the distinct shingles (128 bits, six segments), buckets by all fifteen
+pairs of segments, and takes WIDE_DISTANCE differing bits as a candidate. Candidates, thinned to forests, only tell
 which texts are connected; the shingle sets of all texts of a component are then compared exactly, whatever candidates were
 thinned out. Components above GROUP bytes are cut into blocks, and each pair of blocks is compared in its own task. Links
 are thinned after the comparison: no link below the similarity stands, and none between connected texts is lost. Buckets
@@ -46,6 +46,8 @@ MORE_SEED, WIDE_DISTANCE = 43, 28
 SIMILARITY = 0.8
 #: Fingerprints of one bucket that one task compares; keys of one part, about; fingerprints whose keys are made at once.
 BUCKET, PART, ROWS = 20_000, 600_000, 6000
+#: Classes of a segment's keys by which several fingerprints are dealt, at least.
+CLASSES = 4
 #: Bytes of shingle sets that one task compares.
 GROUP = 16 << 20
 
@@ -151,28 +153,60 @@ def codeword_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def segment_pairs(k: int) -> list[tuple[int, int]]:
-    """All pairs of the three segments of one fingerprint; the ring of neighbours of more."""
-    return list(combinations(range(3), 2)) if k == 1 else [(i, (i + 1) % (3 * k)) for i in range(3 * k)]
+    """All pairs of the segments of k fingerprints."""
+    return list(combinations(range(3 * k), 2))
+
+
+def segment_keys(prints: np.ndarray, segment: int) -> np.ndarray:
+    """Of every row of fingerprints (n, k) of uint64 the segment's keys, -1 where it has fewer than others."""
+    shift, bits = SEGMENTS[segment % 3]
+    keys, new = codeword_keys(prints[:, segment // 3] >> np.uint64(shift) & np.uint64((1 << bits) - 1))
+    n = new.sum(1)
+    held = np.full((len(prints), int(n.max()) if len(n) else 1), -1, np.int64)
+    rows, _ = np.nonzero(new)
+    held[rows, np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)] = keys[new]
+    return held
+
+
+def pair_keys(pair: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, row) of every bucket that a pair of segments with these keys makes."""
+    rows, x, y = np.nonzero((a[:, :, None] >= 0) & (b[:, None, :] >= 0))
+    return (pair << 24) | (a[rows, x] << 12) | b[rows, y], rows
 
 
 def bucket_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, place in prints) of every bucket of every row of fingerprints (n, k) of uint64."""
-    own = []
-    for column in prints.T:
-        for shift, bits in SEGMENTS:
-            keys, new = codeword_keys(column >> np.uint64(shift) & np.uint64((1 << bits) - 1))
-            n = new.sum(1)
-            held = np.full((len(prints), int(n.max()) if len(n) else 1), -1, np.int64)
-            rows, _ = np.nonzero(new)
-            held[rows, np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)] = keys[new]
-            own.append(held)
-    buckets, places = [], []
-    for k, (i, j) in enumerate(segment_pairs(prints.shape[1])):
-        pair = (k << 24) | (own[i][:, :, None] << 12) | own[j][:, None, :]
-        rows, a, b = np.nonzero((own[i][:, :, None] >= 0) & (own[j][:, None, :] >= 0))
-        buckets.append(pair[rows, a, b])
+    own = [segment_keys(prints, at) for at in range(3 * prints.shape[1])]
+    found = [pair_keys(pair, own[i], own[j]) for pair, (i, j) in enumerate(segment_pairs(prints.shape[1]))]
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
+def cells(prints: np.ndarray, g: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, place in prints), each once: a pair of segments and the classes, modulo g, of a key of either."""
+
+    def classes(held: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(held), g + 1), bool)
+        np.put_along_axis(out, np.where(held < 0, g, held % g), True, axis=1)
+        return out[:, :g]
+
+    own, cell, places = [classes(segment_keys(prints, at)) for at in range(3 * prints.shape[1])], [], []
+    for pair, (i, j) in enumerate(segment_pairs(prints.shape[1])):
+        rows, x, y = np.nonzero(own[i][:, :, None] & own[j][:, None, :])
+        cell.append((pair * g + x) * g + y)
         places.append(rows)
-    return np.concatenate(buckets), np.concatenate(places)
+    return np.concatenate(cell), np.concatenate(places)
+
+
+def cell_keys(prints: np.ndarray, cell: int, g: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, place in prints) of the buckets of one cell."""
+    pair, x, y = cell // g // g, cell // g % g, cell % g
+    i, j = segment_pairs(prints.shape[1])[pair]
+    found = []
+    for at in range(0, max(1, len(prints)), ROWS):
+        a, b = (segment_keys(prints[at : at + ROWS], n) for n in (i, j))
+        buckets, rows = pair_keys(pair, np.where(a % g == x, a, -1), np.where(b % g == y, b, -1))
+        found.append((buckets, rows + at))
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
 def run_links(own: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -285,7 +319,11 @@ def bucket_links(buckets: np.ndarray, prints: np.ndarray, distance: int, nearest
 def links(prints: DataFrame, distance: int = DISTANCE, k: int = 1, nearest: bool = False) -> DataFrame:
     """Links (u, v) of nodes over distinct fingerprints (column fp, k of them); for k = 1 and a distance of up to 4 they
     join exactly what all pairs within the distance join. With ``nearest`` each is a pair within the distance."""
-    parts = max(8, math.ceil(prints.count() * 28 * len(segment_pairs(k)) / PART))
+    n = prints.count()
+    parts = max(8, math.ceil(n * 28 * len(segment_pairs(k)) / PART))
+    # Of several fingerprints the parts are cells, which get a row once and make its keys again; hot buckets' blocks come after.
+    classes = max(CLASSES, math.ceil(math.sqrt(n * 28 / PART))) if k > 1 else 0
+    first = len(segment_pairs(k)) * classes**2
 
     def held(batch: pd.DataFrame, at: int) -> np.ndarray:
         return np.array(batch["fp"].iloc[at : at + ROWS].tolist(), np.int64).reshape(-1, k).view(np.uint64)
@@ -306,11 +344,11 @@ def links(prints: DataFrame, distance: int = DISTANCE, k: int = 1, nearest: bool
         for batch in batches:
             for at in range(0, len(batch), ROWS):
                 own = held(batch, at)
-                buckets, places = bucket_keys(own)
+                buckets, places = bucket_keys(own) if hot or k == 1 else (np.empty(0, np.int64), np.empty(0, np.int64))
                 mine = own[places]
                 if hot:
                     heated = np.isin(buckets, np.fromiter(hot, np.int64, len(hot)))
-                    more_b, more_p = [buckets[~heated]], [mine[~heated]]
+                    more_b, more_p = ([buckets[~heated]], [mine[~heated]]) if k == 1 else ([buckets[:0]], [mine[:0]])
                     for bucket in np.unique(buckets[heated]).tolist():
                         inside, g = mine[buckets == bucket], hot[bucket]
                         block = (nodes_of(inside) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % g
@@ -318,16 +356,26 @@ def links(prints: DataFrame, distance: int = DISTANCE, k: int = 1, nearest: bool
                             more_b.append((bucket << 32) | (1 << 61) | (np.minimum(block, other) << 16) | np.maximum(block, other))
                             more_p.append(inside)
                     buckets, mine = np.concatenate(more_b), np.concatenate(more_p)
-                part = (buckets.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % parts
-                order = np.argsort(part, kind="stable")
-                part, buckets, mine = part[order], buckets[order], mine[order]
-                ks, cuts = np.unique(part, return_index=True)
-                yield pd.DataFrame([(int(p), b.tobytes(), h.tobytes()) for p, b, h in zip(ks, np.split(buckets, cuts[1:]), np.split(mine, cuts[1:]), strict=True)], columns=["part", "buckets", "prints"])
+                if len(buckets):
+                    part = (buckets.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % parts + first
+                    order = np.argsort(part, kind="stable")
+                    part, buckets, mine = part[order], buckets[order], mine[order]
+                    ks, cuts = np.unique(part, return_index=True)
+                    yield pd.DataFrame([(int(p), b.tobytes(), h.tobytes()) for p, b, h in zip(ks, np.split(buckets, cuts[1:]), np.split(mine, cuts[1:]), strict=True)], columns=["part", "buckets", "prints"])
+                if k > 1:
+                    part, places = cells(own, classes)
+                    order = np.argsort(part, kind="stable")
+                    ks, cuts = np.unique(part[order], return_index=True)
+                    yield pd.DataFrame([(int(p), b"", own[x].tobytes()) for p, x in zip(ks, np.split(places[order], cuts[1:]), strict=True)], columns=["part", "buckets", "prints"])
         release()
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        buckets = np.frombuffer(b"".join(group["buckets"]), np.int64)
-        u, v = bucket_links(buckets, np.frombuffer(b"".join(group["prints"]), np.uint64).reshape(-1, k), distance, nearest)
+        buckets, own = np.frombuffer(b"".join(group["buckets"]), np.int64), np.frombuffer(b"".join(group["prints"]), np.uint64).reshape(-1, k)
+        if group["part"].iloc[0] < first:
+            buckets, places = cell_keys(own, int(group["part"].iloc[0]), classes)
+            cold = ~np.isin(buckets, np.fromiter(hot, np.int64, len(hot)))
+            buckets, own = buckets[cold], own[places[cold]]
+        u, v = bucket_links(buckets, own, distance, nearest)
         release()
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
