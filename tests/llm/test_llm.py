@@ -248,3 +248,16 @@ def test_hot_buckets_of_128_bits_join_all(spark, monkeypatch):
     prints = spark.createDataFrame([(x,) for x in own.view(np.int64).tolist()], "fp array<long>").distinct()
     got = simhash.components(simhash.links(prints, simhash.WIDE_DISTANCE, 2, True)).collect()
     assert len(got) == prints.count() > 40 and len({r.root for r in got}) == 1
+
+
+def test_line_dedup_leaves_no_shared_line(spark, tmp_path):
+    """Lines that repeat in the holder or in the later document, or come in another order, go like any other."""
+    p, q, r = "this passage repeats over documents again", "a second line that also comes back", "the third line of five words"
+    rng = random.Random(13)
+    rows = [(1, f"{p}\n{q}\n{p}\n{r}", "a"), (2, f"own line of the second document\n{p}", "a"), (3, f"{r}\n{q}\n{r}\nshort", "a")]
+    rows += [(k, "\n".join(rng.choice([p, q, r, f"line number {n} of several such"]) for n in rng.choices(range(12), k=8)), "a") for k in range(4, 40)]
+    seen, want = set(), {}
+    for i, text, _ in rows:
+        want[i] = "\n".join(x for x in text.split("\n") if x not in seen)
+        seen.update(x for x in text.split("\n") if len(x.split()) >= 5)
+    assert {x.doc_id: x.text for x in line_dedup.line_dedup(frame(spark, tmp_path, rows)).collect()} == want

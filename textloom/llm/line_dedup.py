@@ -4,12 +4,14 @@ The earliest document that holds a line is the line's holder. A document is alig
 every shared line leads to one pair at most, so a line that thousands share gives a star and never all pairs, and
 rare and common lines are treated alike. A pair is aligned by patience diff over line hashes: lines that are unique in
 both documents and keep their order are anchors, blocks grow from them over equal neighbours, and what lies between two
-blocks is aligned in the same way. Aligned common blocks are deleted from the later document. A line never vanishes,
-as its holder isn't the later document of any pair that shares it.
+blocks is aligned in the same way. Aligned common blocks are deleted from the later document, and so is each line of
+MIN_WORDS words or more that the blocks leave over though the holder has it: where a line repeats in either document, or
+blocks cross, there is no anchor for it. A line never vanishes, as its holder isn't the later document of any pair that
+shares it.
 
 Defined cases: lines of fewer than MIN_WORDS words lead to no pair and stay, unless a block spans them; a null text is
 the empty text; documents are ordered by id (null last), rows that repeat an id by their place; repeats within one
-document stay; an empty table gives an empty result. Lines are told apart by 64-bit hashes.
+document stay if no earlier document has the line; an empty table gives an empty result. Lines are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -65,6 +67,16 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def shared_places(a: list[int], b: list[int], lead: set[int]) -> list[int]:
+    """Places in b to delete: of the aligned blocks, and of what they leave over each line of ``lead`` that a holds.
+
+    What no block takes (no anchor because a line repeats, or blocks that cross) is paired by equal lines.
+    """
+    gone = {j + k for _, j, n in patience(a, b) for k in range(n)}
+    held = lead.intersection(a)
+    return sorted(gone.union(j for j, x in enumerate(b) if x in held))
+
+
 def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """rid (the row's monotonically_increasing_id), gone (array<int>, places of lines to delete) of rows that lose lines."""
     lines = docs.select(numbered(docs).alias("rid"), "doc_id", F.split(body(), "\n").alias("lines"))
@@ -74,14 +86,15 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     holders = each.groupBy("line").agg(F.min("order").alias("holder"), F.count("*").alias("n")).where("n > 1").select("line", F.col("holder.rid").alias("holder"))
     pairs = written(each.join(holders, "line").where("rid <> holder").select("rid", "holder").distinct())
     held = rows.join(small(pairs.select(F.col("holder").alias("rid")).distinct()), "rid", "left_semi").select(F.col("rid").alias("holder"), F.col("seq").alias("early"))
-    both = pairs.join(held, "holder").join(rows.select("rid", "seq"), "rid")
+    lead = F.expr("transform(filter(arrays_zip(seq, long), x -> x.long), x -> x.seq)")
+    both = pairs.join(held, "holder").join(rows.select("rid", "seq", lead.alias("lead")), "rid")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            gone = [[j + k for _, j, n in patience(list(a), list(b)) for k in range(n)] for a, b in zip(batch["early"], batch["seq"], strict=True)]
+            gone = [shared_places(list(a), list(b), set(c)) for a, b, c in zip(batch["early"], batch["seq"], batch["lead"], strict=True)]
             yield pd.DataFrame({"rid": batch["rid"], "gone": gone})
 
-    cut = both.select("rid", "early", "seq").mapInPandas(align, "rid long, gone array<int>")
+    cut = both.select("rid", "early", "seq", "lead").mapInPandas(align, "rid long, gone array<int>")
     return cut.select("rid", F.explode("gone").alias("at")).distinct().groupBy("rid").agg(F.sort_array(F.collect_list("at")).alias("gone"))
 
 
