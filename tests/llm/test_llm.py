@@ -41,7 +41,7 @@ def test_exact_dedup(docs):
 def test_filters_merge_losslessly():
     rng = np.random.default_rng(1)
     prints = rng.integers(0, 50, 1000).astype(np.uint64) * np.uint64(0x123456789ABCDEF)
-    parts = [exact_dedup.CountingQuotientFilter.of(x, quotient_bits=6) for x in np.array_split(prints, 7)]
+    parts = [exact_dedup.CountingQuotientFilter.of(x) for x in np.array_split(prints, 7)]
     whole = exact_dedup.CountingQuotientFilter.merged(parts)
     assert dict(zip(whole.prints().tolist(), whole.counts.tolist(), strict=True)) == dict(zip(*(x.tolist() for x in np.unique(prints, return_counts=True)), strict=True))
 

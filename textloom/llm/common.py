@@ -178,11 +178,3 @@ def body(col: str = "text") -> Column:
 def remainder(mod: int, col: str = "doc_id") -> Column:
     """crc32 of the id written as text, modulo ``mod``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
-
-
-def numbered(docs: DataFrame) -> Column:
-    """A number for each row of docs, the same in every scan of the same files under the same settings."""
-    spark = docs.sparkSession
-    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
-        spark.conf.set("spark.sql.files.minPartitionNum", str(max(1, spark.sparkContext.defaultParallelism)))
-    return F.monotonically_increasing_id()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import written
+from textloom.llm.common import discard, written
 
 
 def _state(edges: DataFrame):
@@ -29,7 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: the smaller neighbours of u, and u, hang from the least of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = written(small.where("u <> v").distinct())
+        old, edges = edges, written(small.where("u <> v").distinct())
+        discard(old, large)
         before, state = state, _state(edges)
         if state == before:
             break

@@ -13,10 +13,12 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import body, numbered, small, table, written
+from textloom.llm.common import body, fresh, marked, marks, rid, small, stable, table, written
 
 WEIGHTS, SHARE, CEILING, SEED = (3, 1, 2), 1.5, 2, "mix-1"
 #: Ids in a block that one window may hold.
@@ -44,8 +46,10 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling: in
 
 
 def copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling: int = CEILING, seed: str = SEED) -> DataFrame:
-    """One row per row of docs: rid, doc_id, size, source_size, target, copies."""
-    slim = written(docs.select(numbered(docs).alias("rid"), "doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(body(), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size")))
+    """One row per row of docs: rid, doc_id, size, source_size, target, copies. docs: a stable table, else it is written
+    once and rid are those of the written table."""
+    docs = stable(docs)
+    slim = written(docs.select(rid(docs).alias("rid"), "doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(body(), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size")))
     by = targets(slim, weights, share, ceiling)
     number = F.coalesce("doc_id", F.lit(-1)).cast("long")
     slim = slim.withColumn("src", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))).withColumn("block", F.floor(number / BLOCK))
@@ -66,9 +70,13 @@ def copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling: int
 
 def mix(docs: DataFrame, **parameters) -> DataFrame:
     """The mix: every row of docs as many times as it was taken, with docs' columns."""
-    taken = written(copies(docs, **parameters).where("copies > 0").select(F.col("rid").alias("_rid"), F.col("copies").alias("_copies")))
-    out = docs.withColumn("_rid", numbered(docs)).join(small(taken), "_rid")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    docs = stable(docs)
+    taken = copies(docs, **parameters).where("copies > 0").select("rid", F.col("copies").alias("value"))
+    # No row is taken more often than the ceiling, rounded up.
+    most = math.ceil(parameters.get("ceiling", CEILING)) + 1
+    out, key, value = marked(docs, marks(taken, most), most)
+    (turn,) = fresh(out, "turn_")
+    return out.where(F.col(value) > 0).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(value).cast("int")))).drop(key, value, turn)
 
 
 def op5_mix(spark, sf_dir: str) -> DataFrame:

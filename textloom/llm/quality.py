@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import body, numbered, remainder, table
+from textloom.llm.common import body, remainder, slim_batches, table
 
 FOLDS, TEST = 3, 1
 #: Labelled rows from which the trees learn, at most.
@@ -102,9 +102,13 @@ class Trees:
             at = 2 * at + 1 + (x[rows, self.feature[tree, at]] > self.cut[tree, at])
         return 1 / (1 + np.exp(-(self.base + self.value[tree, at].sum(1))))
 
+    def chances(self, texts: pd.Series, rows: int = 2000) -> np.ndarray:
+        """Chance of label 1 of each whole text; so many texts are walked at once."""
+        return np.concatenate([self.predict(_measured(texts.iloc[at : at + rows])) for at in range(0, len(texts), rows)] or [np.zeros(0)])
 
-def _measured(batch: pd.DataFrame) -> np.ndarray:
-    return np.array([statistics(t) for t in batch["text"]]).reshape(len(batch), len(NAMES) + len(SIGNS))
+
+def _measured(texts: pd.Series) -> np.ndarray:
+    return np.array([statistics(t) for t in texts]).reshape(len(texts), len(NAMES) + len(SIGNS))
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
@@ -114,7 +118,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "x": list(_measured(batch))})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "x": list(_measured(batch["text"]))})
 
     joined = docs.select(F.col("doc_id").cast("long"), body().alias("text")).join(F.broadcast(sample.select(F.col("doc_id").cast("long"), "quality")), "doc_id")
     got = joined.mapInPandas(measure, "doc_id long, quality int, x array<double>")
@@ -123,19 +127,18 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
     return Trees.fit(np.array(got["x"].tolist()).reshape(len(got), -1), got["quality"].to_numpy(float))
 
 
-def scored(docs: DataFrame, trees: Trees, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; with keep, docs' rows of predicted 1 with docs' columns instead."""
+def scored(docs: DataFrame, trees: Trees) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row."""
     parts = (trees.feature, trees.cut, trees.value, trees.base, trees.depth)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Trees(*parts)
         for batch in batches:
-            chance = np.concatenate([own.predict(_measured(batch.iloc[at : at + 2000])) for at in range(0, len(batch), 2000)] or [np.zeros(0)])
-            yield pd.DataFrame({"rid" if keep else "doc_id": batch.iloc[:, 0], "held_out": batch["held_out"], "score": chance, "predicted": (chance >= 0.5).astype(np.int32)})
+            chance = own.chances(batch["text"])
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": chance, "predicted": (chance >= 0.5).astype(np.int32)})
 
-    first = numbered(docs).alias("rid") if keep else F.col("doc_id").cast("long")
-    source = docs.select(first, (remainder(FOLDS) == TEST).alias("held_out"), body().alias("text"))
-    return source.mapInPandas(run, f"{'rid' if keep else 'doc_id'} long, held_out boolean, score double, predicted int")
+    source = docs.select(F.col("doc_id").cast("long"), (remainder(FOLDS) == TEST).alias("held_out"), body().alias("text"))
+    return source.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
@@ -144,8 +147,15 @@ def op3_quality(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier doesn't reject, with docs' columns."""
-    from textloom.llm.common import small, written
+    """The rows of docs that the classifier doesn't reject, with docs' columns: one pass, no join, nothing shuffled."""
+    trees = learn(docs, labels)
+    parts = (trees.feature, trees.cut, trees.value, trees.base, trees.depth)
+
+    def chances(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = Trees(*parts)
+        for texts in batches:
+            yield pd.Series(own.chances(texts))
 
-    bad = written(scored(docs, learn(docs, labels), keep=True).where("predicted = 0").select(F.col("rid").alias("_rid")))
-    return docs.withColumn("_rid", numbered(docs)).join(small(bad), "_rid", "left_anti").select(*docs.columns)
+    slim_batches(docs.sparkSession)
+    score = F.pandas_udf(chances, "double", F.PandasUDFType.SCALAR_ITER)
+    return docs.where(score(body()) >= 0.5)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import body, numbered, release, slim_batches, small, table, written
+from textloom.llm.common import batches_of, body, kept, marked, marks, release, rid, small, stable, table, written
 from textloom.llm.components import components
 
 SEED, DISTANCE, SEGMENTS = 42, 4, ((0, 22), (22, 21), (43, 21))
@@ -48,8 +48,8 @@ SIMILARITY = 0.8
 BUCKET, PART, ROWS = 20_000, 600_000, 6000
 #: Classes of a segment's keys by which several fingerprints are dealt, at least.
 CLASSES = 4
-#: Bytes of shingle sets that one task compares.
-GROUP = 16 << 20
+#: Bytes of shingle sets that one task compares; of texts that a worker holds at once.
+GROUP, BATCH = 16 << 20, "6m"
 
 
 def shingles_of(text: str, words: int) -> list[bytes]:
@@ -88,7 +88,7 @@ def fingerprint(text: str, words: int, seeds: tuple[int, ...] = (SEED,), distinc
 
 
 def fingerprints(docs: DataFrame, words: int = 4, seeds: tuple[int, ...] = (SEED,), distinct: bool = False) -> DataFrame:
-    """rid (the row's monotonically_increasing_id), doc_id, node, fp (fingerprints as signed longs) of every row.
+    """rid, doc_id, node, fp (fingerprints as signed longs) of every row of a stable table.
 
     node names the fingerprints as one long: the fingerprint itself, or a mix of two.
     """
@@ -96,12 +96,12 @@ def fingerprints(docs: DataFrame, words: int = 4, seeds: tuple[int, ...] = (SEED
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             prints = np.array([fingerprint(t, words, seeds, distinct) for t in batch["text"]], np.uint64).reshape(-1, len(seeds))
-            yield pd.DataFrame({"rid": batch["rid"], "doc_id": batch["doc_id"], "node": nodes_of(prints).view(np.int64), "fp": list(prints.view(np.int64))})
+            yield pd.DataFrame({"file": batch["file"], "row": batch["row"], "doc_id": batch["doc_id"], "node": nodes_of(prints).view(np.int64), "fp": list(prints.view(np.int64))})
         release()
 
-    slim_batches(docs.sparkSession)
-    source = docs.select(numbered(docs).alias("rid"), F.col("doc_id").cast("long"), body().alias("text"))
-    return source.mapInPandas(run, "rid long, doc_id long, node long, fp array<long>")
+    source = docs.select(rid(docs).alias("rid"), F.col("doc_id").cast("long"), body().alias("text")).select("rid.file", "rid.row", "doc_id", "text")
+    out = source.mapInPandas(run, "file long, row long, doc_id long, node long, fp array<long>")
+    return out.select(F.struct("file", "row").alias("rid"), "doc_id", "node", "fp")
 
 
 def nodes_of(prints: np.ndarray) -> np.ndarray:
@@ -416,12 +416,13 @@ def set_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np
 def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links (u, v) that join what all pairs with the similarity join, of texts that the candidates (u, v) connect.
     nodes: node, first.rid (a row with that text)."""
-    asked = components(pairs).join(nodes, "node").select("node", "root", F.col("first.rid").alias("_rid"))
-    texts = docs.select(numbered(docs).alias("_rid"), body().alias("text")).join(small(written(asked)), "_rid").select("node", "root", "text")
+    asked = written(components(pairs).join(nodes, "node").select("node", "root", F.col("first.rid").alias("rid")))
+    told, key, wanted = marked(docs, marks(asked))
+    texts = told.where(F.col(wanted) == 1).select(F.col(key)["file"].alias("file"), F.col(key)["row"].alias("row"), body().alias("text"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "root": batch["root"], "own": [shingle_set(t, words) for t in batch["text"]]})
+            yield pd.DataFrame({"file": batch["file"], "row": batch["row"], "own": [shingle_set(t, words) for t in batch["text"]]})
         release()
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
@@ -429,7 +430,9 @@ def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, simil
         node = group["node"].to_numpy()
         return pd.DataFrame({"u": node[u], "v": node[v]})
 
-    sets = written(texts.mapInPandas(cut, "node long, root long, own binary"))
+    with batches_of(docs.sparkSession, BATCH):
+        held = texts.mapInPandas(cut, "file long, row long, own binary").select(F.struct("file", "row").alias("rid"), "own")
+        sets = written(held.join(small(asked), "rid").select("node", "root", "own"))
     # A component above the limit is cut into blocks of half of it; each pair of blocks is a group.
     many = sets.groupBy("root").agg(F.sum(F.length("own")).alias("size")).where(F.col("size") > GROUP).select("root", F.ceil(2 * F.col("size") / GROUP).cast("int").alias("g"))
     dealt = sets.join(small(written(many)), "root", "left").withColumn("g", F.coalesce("g", F.lit(1))).withColumn("x", F.pmod(F.xxhash64("node"), "g").cast("int"))
@@ -444,7 +447,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = DISTANCE, s
     texts that pairs within the distance connect.
     """
     exact = similarity is not None
-    prints = written(fingerprints(docs, words, seeds, exact))
+    docs = stable(docs)
+    with batches_of(docs.sparkSession, BATCH):
+        prints = written(fingerprints(docs, words, seeds, exact))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
     distinct = written(prints.groupBy("node", "fp").agg(first))
     found = links(distinct, distance, len(seeds), exact)
@@ -457,10 +462,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = DISTANCE, s
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, distance: int = WIDE_DISTANCE, seeds: tuple[int, ...] = (SEED, MORE_SEED)) -> DataFrame:
-    """One row of each group of near duplicates, with docs' columns; docs is read from files, so that its rows are
-    numbered alike each time."""
-    gone = small(written(near_duplicates(docs, words, distance, seeds, similarity).where(~F.col("kept")).select(F.col("rid").alias("_rid"))))
-    return docs.withColumn("_rid", numbered(docs)).join(gone, "_rid", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates, with docs' columns."""
+    docs = stable(docs)
+    return kept(docs, near_duplicates(docs, words, distance, seeds, similarity).where(~F.col("kept")).select("rid"))
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
