@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.operators.order import sums_before
-from textloom.sources.corpus import EVAL_FRACTION, EVAL_SEED, EVAL_TIERS, LANES, SPLITS, TIERS, block
+from textloom.functions import text as X
+from textloom.operators.order import fresh, positions, sums_before
+from textloom.sources.corpus import EVAL_FRACTION, EVAL_SEED, EVAL_TIERS, LANES, SPLITS, TIERS, read_parquet
 
 # The curriculum's phases with their shares, lane weights and protected floors; quality of tiers; thresholds.
 PHASES = [
@@ -15,6 +16,8 @@ PHASES = [
 ]
 TIER_QUALITY = {"T0": 1.0, "T1": 0.9, "T2": 0.6, "T3": 0.4}
 ACCEPT, REJECT, DELTA_WEIGHT = 0.5, 0.2, 0.3
+# What a contrastive pair must say of its vantage.
+VANTAGE, CHAUVINISM = "indian_plus_western_minus", "none"
 
 
 def violation(eval_tiers=EVAL_TIERS) -> Column:
@@ -27,25 +30,40 @@ def violation(eval_tiers=EVAL_TIERS) -> Column:
     )
 
 
+def minted_pairs(spec: DataFrame, order: str = "pos") -> DataFrame:
+    """Contrastive pairs (id, topic, prefix, y_plus, y_minus, vantage, chauvinism) of a table with their texts; ids count
+    from 1 in order."""
+    numbered = positions(spec.select(F.col(order).alias("order_"), "topic", "prefix", "y_plus", "y_minus"), "order_")
+    return numbered.select(F.format_string("pair-%04d", F.col("pos") + 1).alias("id"), "topic", "prefix", "y_plus", "y_minus", F.lit(VANTAGE).alias("vantage"), F.lit(CHAUVINISM).alias("chauvinism"))
+
+
 def pair_violation() -> Column:
-    """The first rule that a contrastive pair breaks: blank fields, equal continuations."""
+    """The first rule that a contrastive pair breaks: blank fields, other constants, equal continuations."""
     blank = lambda c: F.col(c).isNull() | (F.length(F.trim(F.col(c))) == 0)
     out = F.when(blank("id"), "id")
     for c in ("topic", "prefix", "y_plus", "y_minus"):
         out = out.when(blank(c), c)
+    out = out.when(~F.col("vantage").eqNullSafe(VANTAGE), "vantage").when(~F.col("chauvinism").eqNullSafe(CHAUVINISM), "chauvinism")
     return out.when(F.trim("y_plus") == F.trim("y_minus"), "no contrast")
 
 
+def pair_tokens(pairs: DataFrame) -> DataFrame:
+    """One row: pairs, and their tokens, each pair being two sequences."""
+    both = [X.est_tokens(F.concat_ws(" ", "prefix", c)) for c in ("y_plus", "y_minus")]
+    return pairs.agg(F.count("*").alias("pairs"), F.coalesce(F.sum(both[0] + both[1]), F.lit(0)).alias("tokens"))
+
+
 def duplicate_ids(df: DataFrame) -> DataFrame:
     return df.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def select_eval(docs: DataFrame, fraction: float = EVAL_FRACTION, seed: str = EVAL_SEED) -> DataFrame:
     """id, est_tokens of the evaluation split: eligible documents by the hash of seed and id, until the target is reached."""
-    pool = docs.agg(F.sum("est_tokens")).first()[0] or 0
+    pool, n = docs.agg(F.coalesce(F.sum("est_tokens"), F.lit(0)), F.count("*")).first()
     target = round(fraction * pool)
+    digits = max(3, len(f"{n // 4096:x}"))  # ranges of hashes, some thousand documents each at most
     ordered = docs.where(F.col("provenance_tier").isin(*EVAL_TIERS)).select("id", "est_tokens", F.sha2(F.concat(F.lit(f"{seed}:"), "id").cast("binary"), 256).alias("h"))
-    return sums_before(ordered, [], F.substring("h", 1, 3), "h", _before=F.col("est_tokens")).where(F.col("_before") < target).select("id", "est_tokens")
+    return sums_before(ordered, [], "h", F.substring("h", 1, digits), before_=F.col("est_tokens")).where(F.col("before_") < target).select("id", "est_tokens")
 
 
 def fingerprint(ids: DataFrame) -> DataFrame:
@@ -53,10 +71,37 @@ def fingerprint(ids: DataFrame) -> DataFrame:
     return ids.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("id")), "\n").cast("binary"), 256).alias("fingerprint"))
 
 
+def carve_eval(docs: DataFrame, path: str, fraction: float = EVAL_FRACTION, seed: str = EVAL_SEED) -> DataFrame:
+    """Writes the evaluation split under path: manifest (its ids), documents (whole, as split eval) and header, last.
+
+    One row comes back: selected_count, selected_tokens, fingerprint, cached. If the header there has the fingerprint of
+    this selection, nothing is written and cached is true.
+    """
+    chosen = select_eval(docs, fraction, seed).join(docs.select("id", "source_id", "lane", "provenance_tier"), "id")
+    now = chosen.agg(F.count("*").alias("selected_count"), F.coalesce(F.sum("est_tokens"), F.lit(0)).alias("selected_tokens")).crossJoin(fingerprint(chosen)).first()
+    spark = docs.sparkSession
+    header = spark.createDataFrame([tuple(now)], "selected_count long, selected_tokens long, fingerprint string")
+    last = read_parquet(spark, f"{path}/header", "selected_count long, selected_tokens long, fingerprint string").first()
+    cached = last is not None and last.fingerprint == now.fingerprint
+    if not cached:
+        chosen.withColumn("split", F.lit("eval")).write.mode("overwrite").parquet(f"{path}/manifest")
+        kept = docs.join(load_eval_ids(spark, path), "id", "left_semi").withColumn("split", F.lit("eval"))
+        outside = F.when(F.col("provenance_tier").isin(*EVAL_TIERS), F.col("split")).otherwise(F.raise_error(F.concat(F.lit("tier of "), "id")))
+        kept.withColumn("split", outside).write.mode("overwrite").parquet(f"{path}/documents")
+        header.write.mode("overwrite").parquet(f"{path}/header")
+    return header.withColumn("cached", F.lit(cached))
+
+
+def load_eval_ids(spark: SparkSession, path: str) -> DataFrame:
+    """id of every document of a carved split."""
+    return spark.read.parquet(f"{path}/manifest").select("id")
+
+
 def route(docs: DataFrame, eval_ids: DataFrame) -> DataFrame:
     """docs with their split: eval if the id is in the manifest, else train."""
-    mark = eval_ids.select("id").distinct().withColumn("_eval", F.lit(True))
-    return docs.join(mark, "id", "left").withColumn("split", F.when(F.col("_eval"), "eval").otherwise("train")).drop("_eval")
+    (name,) = fresh(docs, "eval_")
+    mark = eval_ids.select("id").distinct().withColumn(name, F.lit(True))
+    return docs.join(mark, "id", "left").withColumn("split", F.when(F.col(name), "eval").otherwise("train")).drop(name)
 
 
 def dangling(eval_ids: DataFrame, docs: DataFrame) -> DataFrame:
@@ -117,6 +162,17 @@ def compile_mixture(rows: DataFrame, total: int) -> DataFrame:
     return plan.select("phase", "lane", "budget", planned.alias("planned_tokens"), F.round(planned / F.col("budget"), 6).alias("planned_share"), "floor", (planned >= F.col("floor_tokens")).alias("meets_floor"))
 
 
+def floor_tokens(plan: DataFrame) -> DataFrame:
+    """lane, floor_tokens: protected tokens over all phases, cut to whole numbers phase by phase."""
+    return plan.groupBy("lane").agg(F.sum((F.col("floor") * F.col("budget")).cast("long")).alias("floor_tokens"))
+
+
+def mixture_report(plan: DataFrame) -> DataFrame:
+    """lane, planned_tokens over all phases, all_floors_met (of the whole plan, on every row)."""
+    met = plan.agg(F.bool_and("meets_floor").alias("all_floors_met"))
+    return plan.groupBy("lane").agg(F.sum("planned_tokens").alias("planned_tokens")).crossJoin(met)
+
+
 def mixture_coverage(plan: DataFrame, available: DataFrame) -> DataFrame:
     """lane, planned, available, needs_repetition over the lanes of either side."""
     totals = plan.groupBy("lane").agg(F.sum("planned_tokens").alias("planned"))
@@ -132,25 +188,26 @@ def tier_quality(tier: Column) -> Column:
     return out
 
 
-def select(candidates: DataFrame, limits: DataFrame, accept: float = ACCEPT, reject: float = REJECT, delta_weight: float = DELTA_WEIGHT, score: Column | None = None, bucket: Column | None = None) -> DataFrame:
-    """Decisions on candidates (id, lane, tokens, quality, delta_s) in the order of ids, with running lane totals.
+def select(candidates: DataFrame, limits: DataFrame, accept: float = ACCEPT, reject: float = REJECT, delta_weight: float = DELTA_WEIGHT, score: Column | None = None) -> DataFrame:
+    """Decisions on candidates (id, lane, tokens, quality, delta_s) in the order of pos, or of ids, with running lane totals.
 
     limits: lane, target, floor; lanes without a row have none. While a lane is below its floor everything is taken, so
     the running sum of all tokens decides; after that only good scores add, so a second running sum decides, and once a
     lane has reached its target nothing more is taken. Tokens must be positive.
     """
+    if "pos" not in candidates.columns:
+        candidates = positions(candidates, "id")
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("quality") + delta_weight * F.col("delta_s"))) if score is None else score
-    bucket = block() if bucket is None else bucket
+    # Lanes are a closed set, so limits are few.
     c = candidates.join(F.broadcast(limits), "lane", "left").fillna(0, ["target", "floor"]).withColumn("score", score)
-    c = sums_before(c, ["lane"], bucket, "id", _all=F.col("tokens"))
-    in_floor = F.col("_all") < F.col("floor")
-    c = c.withColumn("_floored", in_floor)
-    c = sums_before(c, ["lane"], bucket, "id", _used=F.when(F.col("_floored") | (F.col("score") >= accept), F.col("tokens")).otherwise(0))
-    full = F.col("_used") >= F.col("target")
-    c = c.withColumn("decision", F.when(F.col("_floored"), "accept").when(full, "reject").when(F.col("score") >= accept, "accept").when(F.col("score") >= reject, "defer").otherwise("reject"))
-    c = c.withColumn("reason", F.when(F.col("_floored"), "floor_override").when(full, "lane_target_reached").when(F.col("score") >= accept, "score>=accept").when(F.col("score") >= reject, "marginal_score").otherwise("score<reject"))
-    c = sums_before(c, ["lane"], bucket, "id", _taken=F.when(F.col("decision") == "accept", F.col("tokens")).otherwise(0))
-    after = F.col("_taken") + F.when(F.col("decision") == "accept", F.col("tokens")).otherwise(0)
+    c = sums_before(c, ["lane"], "pos", all_=F.col("tokens"))
+    c = c.withColumn("floored_", F.col("all_") < F.col("floor"))
+    c = sums_before(c, ["lane"], "pos", used_=F.when(F.col("floored_") | (F.col("score") >= accept), F.col("tokens")).otherwise(0))
+    full = F.col("used_") >= F.col("target")
+    c = c.withColumn("decision", F.when(F.col("floored_"), "accept").when(full, "reject").when(F.col("score") >= accept, "accept").when(F.col("score") >= reject, "defer").otherwise("reject"))
+    c = c.withColumn("reason", F.when(F.col("floored_"), "floor_override").when(full, "lane_target_reached").when(F.col("score") >= accept, "score>=accept").when(F.col("score") >= reject, "marginal_score").otherwise("score<reject"))
+    c = sums_before(c, ["lane"], "pos", taken_=F.when(F.col("decision") == "accept", F.col("tokens")).otherwise(0))
+    after = F.col("taken_") + F.when(F.col("decision") == "accept", F.col("tokens")).otherwise(0)
     return c.select("id", "lane", "tokens", F.round("score", 4).alias("score"), F.round("delta_s", 4).alias("delta_s"), "decision", "reason", after.cast("long").alias("lane_total_after"))
 
 
@@ -164,3 +221,13 @@ def firewall_audit(docs: DataFrame, eval_ids: DataFrame) -> DataFrame:
     both = train.join(eval_ids.select("id"), "id", "left_semi")
     one = lambda df, c: df.agg(F.count("*").alias(c))
     return one(train, "n_train").crossJoin(one(eval_ids, "n_eval")).crossJoin(one(both, "n_leaked")).withColumn("ok", F.col("n_leaked") == 0)
+
+
+def shards_blocked(shards: DataFrame, admitted: DataFrame) -> DataFrame:
+    """One row: train_shards, eval_shards, blocked (evaluation shards that aren't admitted), ok. shards: shard_id, split;
+    admitted: shard_id of what training reads."""
+    mark = admitted.select("shard_id").distinct().withColumn("in_", F.lit(True))
+    both = shards.join(mark, "shard_id", "left")
+    eval_, there = F.col("split") == "eval", F.coalesce("in_", F.lit(False))
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    return both.agg(n(~eval_).alias("train_shards"), n(eval_).alias("eval_shards"), n(eval_ & ~there).alias("blocked")).withColumn("ok", F.col("blocked") == F.col("eval_shards"))

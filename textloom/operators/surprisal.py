@@ -32,6 +32,17 @@ def delta_s(minus: DataFrame, plus: DataFrame) -> DataFrame:
     return a.join(b, "id").select("id", F.round(F.col("x") - F.col("u"), 4).alias("delta_s_sum"), F.round(F.col("y") - F.col("v"), 4).alias("delta_s_per_token"))
 
 
+def contrast(train: DataFrame, pairs: DataFrame, k: float = ADD_K) -> DataFrame:
+    """delta_s of contrastive pairs: each is two texts, its prefix with either continuation."""
+    of = lambda c: pair_surprisal(train, pairs.select("id", F.concat_ws(" ", "prefix", c).alias("text")), k)
+    return delta_s(of("y_minus"), of("y_plus"))
+
+
+def unmatched(rows: DataFrame, of: DataFrame, key: str) -> DataFrame:
+    """Rows whose key isn't in the other table: learning without consumption, expected events that weren't emitted."""
+    return rows.join(of.select(key).distinct(), key, "left_anti")
+
+
 def audit(checks: dict[str, DataFrame]) -> DataFrame:
     """check, violations, ok: each check is a DataFrame of violations."""
     out = None

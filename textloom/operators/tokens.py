@@ -6,6 +6,7 @@ import hashlib
 import json
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from pathlib import Path
 
 import pandas as pd
@@ -39,8 +40,8 @@ def from_symbols(symbols: str) -> str:
 
 def lane_sample(docs: DataFrame, per_lane: int = PER_LANE, chars: int = SAMPLE_CHARS) -> DataFrame:
     """The first documents of each lane, cut to a length; ranks above the bound are dropped before the shuffle."""
-    place = F.row_number().over(Window.partitionBy("lane").orderBy("id"))
-    return docs.select("id", "lane", F.substring("text", 1, chars).alias("text")).withColumn("n", place).where(F.col("n") <= per_lane).drop("n")
+    place = F.row_number().over(Window.partitionBy("lane").orderBy("pos"))
+    return docs.select("id", "pos", "lane", F.substring("text", 1, chars).alias("text")).withColumn("n", place).where(F.col("n") <= per_lane).drop("n")
 
 
 def pretoken_counts(docs: DataFrame) -> DataFrame:
@@ -56,8 +57,8 @@ def char_pairs(docs: DataFrame) -> DataFrame:
 def learn_merges(counts: dict[str, int], vocab_size: int, specials=SPECIALS) -> tuple[dict[str, int], list[tuple[str, str]]]:
     """(vocabulary, merges) from pre-token counts: the commonest pair each time, ties to the smaller pair.
 
-    Pairs are kept with the words that hold them, so that a merge revisits only those; a pair whose merged token exists
-    already is set aside for good unless its count changes.
+    Pairs are kept with the words that hold them, so that a merge revisits only those, and wait in a heap by count; a pair
+    whose merged token exists already is set aside unless its count changes.
     """
     vocab: dict[str, int] = {}
     for t in (*specials, *SYMBOLS):
@@ -69,26 +70,19 @@ def learn_merges(counts: dict[str, int], vocab_size: int, specials=SPECIALS) ->
         for p in zip(w, w[1:], strict=False):
             weight[p] += n
             holders[p].add(k)
-    by_weight: dict[int, set] = defaultdict(set)
-    for p, n in weight.items():
-        by_weight[n].add(p)
-
-    def shift(p, by):
-        by_weight[weight[p]].discard(p)
-        weight[p] += by
-        by_weight[weight[p]].add(p)
-
+    queue = [(-n, p) for p, n in weight.items()]  # an entry whose weight isn't the pair's any more is skipped
+    heapify(queue)
     merges: list[tuple[str, str]] = []
-    while len(vocab) < vocab_size:
-        top = max((n for n, ps in by_weight.items() if ps and n > 0), default=0)
-        if top <= 0:
-            break
-        a, b = min(by_weight[top])
+    while queue and len(vocab) < vocab_size:
+        n, (a, b) = heappop(queue)
+        if n == 0 or -n != weight[a, b]:
+            continue
         if a + b in vocab:
-            shift((a, b), -weight[a, b])
+            weight[a, b] = 0
             continue
-        for k in list(holders[a, b]):
-            old, n = words[k]
+        changed = set()
+        for k in holders.pop((a, b)):
+            old, times = words[k]
             new, at = [], 0
             while at < len(old):
                 step = 2 if old[at : at + 2] == [a, b] else 1
@@ -96,13 +90,20 @@ def learn_merges(counts: dict[str, int], vocab_size: int, specials=SPECIALS) ->
                 at += step
             if len(new) == len(old):
                 continue
-            for p, by in (Counter(zip(new, new[1:], strict=False)) - Counter(zip(old, old[1:], strict=False))).items():
-                shift(p, by * n)
+            for p in zip(old, old[1:], strict=False):
+                weight[p] -= times
+                changed.add(p)
+            for p in zip(new, new[1:], strict=False):
+                weight[p] += times
                 holders[p].add(k)
-            for p, by in (Counter(zip(old, old[1:], strict=False)) - Counter(zip(new, new[1:], strict=False))).items():
-                shift(p, -by * n)
-            words[k] = (new, n)
-        shift((a, b), -weight[a, b])
+                changed.add(p)
+            words[k] = (new, times)
+        weight[a, b] = 0
+        for p in changed:
+            if weight[p] > 0:
+                heappush(queue, (-weight[p], p))
+            else:
+                holders.pop(p, None)
         vocab[a + b] = len(vocab)
         merges.append((a, b))
     return vocab, merges
@@ -114,13 +115,25 @@ def train(docs: DataFrame, vocab_size: int) -> tuple[dict[str, int], list[tuple[
 
 
 def merge_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
+    """The word's symbols after all merges: the lowest rank first, of several places the leftmost. Places wait in a heap by
+    rank, so a long run without white space costs little more than in proportion to its length."""
     own = to_symbols(word)
-    while len(own) > 1:
-        rank, at = min((ranks.get((own[k], own[k + 1]), len(ranks)), k) for k in range(len(own) - 1))
-        if rank == len(ranks):
-            break
-        own[at : at + 2] = [own[at] + own[at + 1]]
-    return own
+    after, before = [*range(1, len(own)), -1], list(range(-1, len(own) - 1))
+    queue = [(ranks[p], k, *p) for k, p in enumerate(zip(own, own[1:], strict=False)) if p in ranks]
+    heapify(queue)
+    while queue:
+        _, k, a, b = heappop(queue)
+        j = after[k]
+        if own[k] != a or j < 0 or own[j] != b:
+            continue
+        own[k], own[j] = a + b, ""
+        after[k] = after[j]
+        if after[j] >= 0:
+            before[after[j]] = k
+        for left, right in ((before[k], k), (k, after[k])):
+            if left >= 0 and right >= 0 and (p := (own[left], own[right])) in ranks:
+                heappush(queue, (ranks[p], left, *p))
+    return [x for x in own if x]
 
 
 def encode(docs: DataFrame, vocab: dict[str, int], merges: list[tuple[str, str]]) -> DataFrame:

@@ -5,7 +5,7 @@ Queries run over whole tables. The SQL states an operator's meaning in other wor
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
@@ -15,13 +15,15 @@ from textloom.operators import planning as G
 from textloom.operators import surprisal as S
 from textloom.operators import tokens as K
 from textloom.plans import clean as plan
+from textloom.plans import run as chain
 from textloom.sources import corpus as R
 from textloom.streaming import batches as B
 
 QUERIES: dict = {}
 SQL: dict = {}
 
-CORPUS = """corpus AS (SELECT doc_id, source || '-' || lpad(CAST(doc_id AS VARCHAR), 7, '0') AS id, source AS source_id, text,
+BENCH_ID = "printf('bench-%07d', item_id)"
+CORPUS = """corpus AS (SELECT doc_id, printf('%s-%07d', source, doc_id) AS id, source AS source_id, text,
   CASE WHEN lang = 'en' THEN CASE CAST(substr(source, 4) AS INTEGER) % 3 WHEN 0 THEN 'web' WHEN 1 THEN 'code' ELSE 'math' END WHEN lang = 'es' THEN 'indic' ELSE 'multilingual' END AS lane,
   'T' || CAST(CAST(substr(source, 4) AS INTEGER) % 4 AS VARCHAR) AS provenance_tier, greatest(1, CAST(strlen(text) // 4 AS BIGINT)) AS est_tokens FROM documents)"""
 WORDS = r"regexp_extract_all(text, '[\p{L}\p{N}_\x{0300}-\x{036F}]+')"
@@ -56,12 +58,12 @@ def content_hash(spark, d):
     return R.corpus(spark, d).select("id", X.content_hash(X.nfc(F.col("text"))).alias("hash"))
 
 
-@query("SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY text ORDER BY id) AS n FROM corpus) WHERE n = 1")
+@query("SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM corpus) WHERE n = 1")
 def exact_dedup_kept(spark, d):
     return C.distinct_texts(R.corpus(spark, d)).select("id")
 
 
-@query("SELECT * FROM (SELECT id, first_value(id) OVER (PARTITION BY text ORDER BY id) AS survivor FROM corpus) WHERE id <> survivor")
+@query("SELECT * FROM (SELECT id, first_value(id) OVER (PARTITION BY text ORDER BY doc_id) AS survivor FROM corpus) WHERE id <> survivor")
 def exact_dedup_drops(spark, d):
     return C.exact_duplicates(R.corpus(spark, d)).where("id <> survivor").select("id", "survivor")
 
@@ -104,7 +106,7 @@ def grams_sql(source: str, key: str) -> str:
     return rf"""SELECT DISTINCT id, array_to_string(w[i : i + 12], ' ') AS gram FROM (SELECT id, w, unnest(range(1, len(w) - 11)) AS i FROM (SELECT {key} AS id, list_transform({WORDS}, lambda x: lower(x)) AS w FROM {source}))"""
 
 
-BENCH = f""", g AS ({grams_sql("benchmark", "'bench-' || lpad(CAST(item_id AS VARCHAR), 7, '0')")}),
+BENCH = f""", g AS ({grams_sql("benchmark", "printf('bench-%07d', item_id)")}),
 cap AS (SELECT greatest(1, CAST(floor(0.30 * count(*)) AS BIGINT)) AS cap FROM benchmark),
 ix AS (SELECT gram, count(*) AS n FROM g GROUP BY gram HAVING count(*) <= (SELECT cap FROM cap)),
 dg AS ({grams_sql("corpus", "id")}),
@@ -134,27 +136,35 @@ def decontam_kept(spark, d):
 
 
 @query(
-    QUALITY.replace("FROM corpus", "FROM dup_kept").replace(", w AS", ", nt AS (SELECT id, " + NORM + " AS text FROM corpus), r AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY id) AS rn FROM nt), dup_kept AS (SELECT id, text FROM r WHERE rn = 1), w AS", 1)
+    QUALITY.replace("FROM corpus", "FROM dup_kept").replace(", w AS", ", nt AS (SELECT id, doc_id, " + NORM + " AS text FROM corpus), r AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM nt), dup_kept AS (SELECT id, text FROM r WHERE rn = 1), w AS", 1)
     + " SELECT 'input' AS stage, CAST(count(*) AS BIGINT) AS n FROM corpus UNION ALL SELECT 'exact_dup', count(*) FROM r WHERE rn > 1 UNION ALL SELECT 'quality', count(*) FROM verdict WHERE reason IS NOT NULL"
 )
 def clean_funnel(spark, d):
     """Normalise, exact duplicates, quality: how many documents each stage drops."""
-    docs = R.corpus(spark, d).select("id", X.normalize(F.col("text")).alias("text"))
+    docs = R.corpus(spark, d).select("id", "pos", X.normalize(F.col("text")).alias("text"))
     docs = R.written(docs)
-    duplicates = C.exact_duplicates(docs)
-    kept = docs.join(duplicates.where("id <> survivor").select("id"), "id", "left_anti")
+    duplicates = R.written(C.exact_duplicates(docs).where("id <> survivor"))
+    kept = docs.join(duplicates.select("id"), "id", "left_anti")
     one = lambda df, stage: df.agg(F.count("*").alias("n")).select(F.lit(stage).alias("stage"), "n")
-    return one(docs, "input").unionByName(one(duplicates.where("id <> survivor"), "exact_dup")).unionByName(one(C.quality_verdicts(kept).where("reason IS NOT NULL"), "quality"))
+    return one(docs, "input").unionByName(one(duplicates, "exact_dup")).unionByName(one(C.quality_verdicts(kept).where("reason IS NOT NULL"), "quality"))
 
 
 @query()
 def clean_pipeline(spark, d):
     """Rows only: the whole cleaning plan with near duplicates."""
     docs = R.corpus(spark, d)
-    _, drops = plan.clean(docs, R.benchmark(spark, d))
+    _, drops, _ = plan.clean(docs, R.benchmark(spark, d))
     return plan.funnel(docs, drops)
 
 
+@query()
+def cleaning_report(spark, d):
+    """Rows only, as clean_pipeline: input, kept, dropped and redactions by stage, contrastive texts in the index."""
+    docs = R.corpus(spark, d)
+    _, drops, masked = plan.clean(docs, R.benchmark(spark, d), pairs=_pairs(spark, d), symmetric=True)
+    return plan.report(docs, drops, masked)
+
+
 COUNTS = f", {EVAL}, routed AS (SELECT c.*, CASE WHEN e.id IS NULL THEN 'train' ELSE 'eval' END AS split FROM corpus c LEFT JOIN chosen e USING (id)), counts AS (SELECT l.lane, s.split, count(r.id) AS docs, CAST(coalesce(sum(r.est_tokens), 0) AS BIGINT) AS tokens FROM (SELECT unnest(['web', 'code', 'math', 'indic', 'multilingual']) AS lane) l CROSS JOIN (SELECT unnest(['train', 'eval']) AS split) s LEFT JOIN routed r ON r.lane = l.lane AND r.split = s.split GROUP BY ALL)"
 
 
@@ -180,10 +190,11 @@ def validation_violations(spark, d):
     return docs.select("id", G.violation().alias("violation"))
 
 
-@query("SELECT 'bench-' || lpad(CAST(item_id AS VARCHAR), 7, '0') AS id FROM benchmark")
+@query(f"SELECT {BENCH_ID} AS id FROM benchmark")
 def dangling_eval_ids(spark, d):
-    """No benchmark item is a document of the corpus, so all dangle."""
-    return G.dangling(R.benchmark(spark, d), R.corpus(spark, d))
+    """A manifest of benchmark items and every tenth document; only the items dangle."""
+    docs = R.corpus(spark, d)
+    return G.dangling(R.benchmark(spark, d).select("id").unionByName(docs.where("doc_id % 10 = 0").select("id")), docs)
 
 
 @query(f", {EVAL} SELECT id, est_tokens FROM chosen")
@@ -191,15 +202,15 @@ def eval_select(spark, d):
     return G.select_eval(R.corpus(spark, d))
 
 
-@query("SELECT id, source_id, est_tokens FROM (SELECT *, coalesce(sum(est_tokens) OVER (PARTITION BY source_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(est_tokens) OVER (PARTITION BY source_id) AS whole FROM corpus) WHERE before < whole // 2")
+@query("SELECT id, source_id, est_tokens FROM (SELECT *, coalesce(sum(est_tokens) OVER (PARTITION BY source_id ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(est_tokens) OVER (PARTITION BY source_id) AS whole FROM corpus) WHERE before < whole // 2")
 def token_capped_prefix(spark, d):
     """Each source's documents until half its tokens are reached."""
     docs = R.corpus(spark, d)
     caps = docs.groupBy("source_id").agg(F.expr("sum(est_tokens) div 2").alias("cap"))
-    return R.capped_prefix(docs.join(caps, "source_id"), ["source_id"], "id", R.block(), "est_tokens", F.col("cap")).select("id", "source_id", "est_tokens")
+    return R.capped_prefix(docs.join(caps, "source_id"), ["source_id"], "pos", "est_tokens", F.col("cap")).select("id", "source_id", "est_tokens")
 
 
-@query("SELECT id, lane, sha256(substr(text, 1, 2000)) AS hash FROM (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY id) AS n FROM corpus) WHERE n <= 300")
+@query("SELECT id, lane, sha256(substr(text, 1, 2000)) AS hash FROM (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY doc_id) AS n FROM corpus) WHERE n <= 300")
 def lane_sample(spark, d):
     return K.lane_sample(R.corpus(spark, d)).select("id", "lane", X.content_hash(F.col("text")).alias("hash"))
 
@@ -226,24 +237,40 @@ def mixture_coverage(spark, d):
     return G.mixture_coverage(G.compile_mixture(G.mixture_rows(spark), MIX_TOTAL), available)
 
 
+#: A contrast that pushes some scores over either end of the range and some over a threshold.
+DELTA = "CAST(doc_id % 7 - 3 AS DOUBLE) / 2.0::DOUBLE"
 #: What SELECTION gives each lane: a third of its tokens as target, a tenth as floor.
 SELECTION = """, lim AS (SELECT lane, sum(est_tokens) // 3 AS target, sum(est_tokens) // 10 AS floor FROM corpus GROUP BY lane),
-c AS (SELECT corpus.id, corpus.lane, est_tokens AS tokens, CASE provenance_tier WHEN 'T0' THEN 1.0 WHEN 'T1' THEN 0.9 WHEN 'T2' THEN 0.6 ELSE 0.4 END AS score, target, floor, row_number() OVER (PARTITION BY corpus.lane ORDER BY corpus.id) AS n FROM corpus JOIN lim USING (lane)),
+c AS (SELECT corpus.id, corpus.lane, est_tokens AS tokens, greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE provenance_tier WHEN 'T0' THEN 1.0::DOUBLE WHEN 'T1' THEN 0.9::DOUBLE WHEN 'T2' THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END + 0.3::DOUBLE * DELTA)) AS score, target, floor, row_number() OVER (PARTITION BY corpus.lane ORDER BY ORDERED) AS n FROM corpus JOIN lim USING (lane)),
 s AS (WITH RECURSIVE s(lane, n, id, tokens, score, total, decision, reason) AS (
   SELECT lane, 0::BIGINT, NULL::VARCHAR, 0::BIGINT, 0.0::DOUBLE, 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR FROM lim
   UNION ALL SELECT c.lane, c.n, c.id, c.tokens, c.score::DOUBLE, CAST(s.total + CASE WHEN s.total < c.floor OR (s.total < c.target AND c.score >= 0.5) THEN c.tokens ELSE 0 END AS BIGINT),
     CASE WHEN s.total < c.floor THEN 'accept' WHEN s.total >= c.target THEN 'reject' WHEN c.score >= 0.5 THEN 'accept' WHEN c.score >= 0.2 THEN 'defer' ELSE 'reject' END,
     CASE WHEN s.total < c.floor THEN 'floor_override' WHEN s.total >= c.target THEN 'lane_target_reached' WHEN c.score >= 0.5 THEN 'score>=accept' WHEN c.score >= 0.2 THEN 'marginal_score' ELSE 'score<reject' END
   FROM s JOIN c ON c.lane = s.lane AND c.n = s.n + 1) SELECT * FROM s WHERE n > 0)"""
+SELECTION = SELECTION.replace("DELTA", DELTA).replace("ORDERED", "doc_id")
 
 
 def _decisions(spark, d):
     docs = R.corpus(spark, d)
     limits = docs.groupBy("lane").agg(F.expr("sum(est_tokens) div 3").alias("target"), F.expr("sum(est_tokens) div 10").alias("floor"))
-    return G.select(docs.select("id", "lane", F.col("est_tokens").alias("tokens"), G.tier_quality(F.col("provenance_tier")).alias("quality"), F.lit(0.0).alias("delta_s")), limits)
+    return G.select(_candidates(docs).select("id", "pos", "lane", "tokens", "quality", "delta_s"), limits)
+
 
+def _candidates(docs):
+    return docs.select("doc_id", "id", "pos", "lane", F.col("est_tokens").alias("tokens"), G.tier_quality(F.col("provenance_tier")).alias("quality"), ((F.col("doc_id") % 7 - 3).cast("double") / 2).alias("delta_s"))
 
-@query(SELECTION + " SELECT id, lane, tokens, score, decision, reason, total AS lane_total_after FROM s")
+
+@query(SELECTION.replace("corpus.id, corpus.lane", "printf('s%x', doc_id) AS id, corpus.lane").replace("ORDER BY doc_id", "ORDER BY printf('s%x', doc_id)") + " SELECT id, tokens, decision, reason, total AS lane_total_after FROM s")
+def select_mixed_ids(spark, d):
+    """Candidates in the order of ids of unequal length, which no position goes with."""
+    docs = R.corpus(spark, d)
+    limits = docs.groupBy("lane").agg(F.expr("sum(est_tokens) div 3").alias("target"), F.expr("sum(est_tokens) div 10").alias("floor"))
+    own = _candidates(docs).drop("pos").withColumn("id", F.format_string("s%x", "doc_id"))
+    return G.select(own, limits).select("id", "tokens", "decision", "reason", "lane_total_after")
+
+
+@query(SELECTION + " SELECT id, lane, tokens, round(score, 4) AS score, decision, reason, total AS lane_total_after FROM s")
 def select_decisions(spark, d):
     return _decisions(spark, d).drop("delta_s")
 
@@ -253,10 +280,101 @@ def select_summary(spark, d):
     return G.select_summary(_decisions(spark, d))
 
 
-@query(COUNTS + " SELECT (SELECT count(*) FROM routed WHERE split = 'train') AS n_train, (SELECT count(*) FROM chosen) AS n_eval, 0::BIGINT AS n_leaked, true AS ok")
+@query(COUNTS + ", e AS (SELECT id FROM chosen UNION SELECT id FROM corpus WHERE doc_id % 97 = 0) SELECT count(*) FILTER (split = 'train') AS n_train, (SELECT count(*) FROM e) AS n_eval, count(*) FILTER (split = 'train' AND id IN (SELECT id FROM e)) AS n_leaked, count(*) FILTER (split = 'train' AND id IN (SELECT id FROM e)) = 0 AS ok FROM routed")
 def firewall_audit(spark, d):
-    docs = R.written(routed(spark, d).select("id", "split"))
-    return G.firewall_audit(docs, docs.where("split = 'eval'").select("id"))
+    """The manifest of the audit has more ids than the split was made from, so some training documents leak."""
+    docs = R.written(routed(spark, d).select("id", "doc_id", "split"))
+    return G.firewall_audit(docs, docs.where("split = 'eval' OR doc_id % 97 = 0").select("id"))
+
+
+@query("SELECT count(*) FILTER (doc_id % 5 <> 0) AS train_shards, count(*) FILTER (doc_id % 5 = 0) AS eval_shards, count(*) FILTER (doc_id % 5 = 0 AND doc_id % 35 <> 0) AS blocked, count(*) FILTER (doc_id % 35 = 0) = 0 AS ok FROM corpus")
+def shards_blocked(spark, d):
+    """Every fifth is evaluation data, and of these every seventh is admitted all the same."""
+    rows = R.corpus(spark, d).select(F.col("id").alias("shard_id"), F.when(F.col("doc_id") % 5 == 0, "eval").otherwise("train").alias("split"), "doc_id")
+    return G.shards_blocked(rows, rows.where("doc_id % 5 <> 0 OR doc_id % 35 = 0"))
+
+
+@query(f", {EVAL} SELECT count(*) AS selected_count, CAST(sum(est_tokens) AS BIGINT) AS selected_tokens, sha256(string_agg(id, chr(10) ORDER BY id)) AS fingerprint, false AS cached FROM chosen")
+def carve_eval(spark, d):
+    return G.carve_eval(R.corpus(spark, d), R.written(spark.range(1)).inputFiles()[0].rpartition("/")[0] + "-eval")
+
+
+@query("SELECT id, est_tokens FROM (SELECT id, est_tokens, coalesce(sum(est_tokens) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT printf('up-%07d', row_number() OVER (ORDER BY doc_id) - 1) AS id, row_number() OVER (ORDER BY doc_id) AS n, est_tokens, text FROM corpus) WHERE length(regexp_replace(text, '\\s+', '', 'g')) > 0) WHERE before < (SELECT sum(est_tokens) // 3 FROM corpus)")
+def fetch_prefix(spark, d):
+    """All documents as one upstream table, of which a third of the tokens is asked."""
+    docs = R.corpus(spark, d)
+    target = docs.agg(F.expr("sum(est_tokens) div 3")).first()[0]
+    return R.fetch(docs, "up", "web", "T0", "r1", "text", target, "doc_id").select("id", "est_tokens")
+
+
+def _sources(spark, d):
+    """A manifest made of the documents' sources, some rows of it unsound."""
+    own = R.corpus(spark, d).select("source_id").distinct().withColumn("n", F.substring("source_id", 4, 9).cast("int"))
+    k = F.col("n") % 9
+    lane = F.when(k == 1, "poetry").otherwise(F.element_at(F.array(*map(F.lit, R.LANES[:4])), F.col("n") % 4 + 1))
+    rows = own.select("source_id", lane.alias("lane"), F.when(k == 2, "T9").otherwise("T1").alias("provenance_tier"), F.when(k == 3, " ").otherwise("set").alias("dataset"), F.lit("text").alias("text_field"), F.when(k == 4, None).otherwise("cc0").alias("license"), F.when(k == 5, 0).otherwise(1000).cast("long").alias("target_tokens"), (k == 6).alias("gated"))
+    return rows.unionByName(rows.where(F.substring("source_id", 4, 9).cast("int") % 9 == 7))
+
+
+SOURCES = """, n AS (SELECT DISTINCT source_id, CAST(substr(source_id, 4) AS INTEGER) AS n FROM corpus),
+m AS (SELECT source_id, n % 9 AS k, n, CASE n % 9 WHEN 5 THEN 0 ELSE 1000 END AS t, CASE WHEN n % 9 = 1 THEN 'poetry' ELSE ['web', 'code', 'math', 'indic'][n % 4 + 1] END AS lane FROM n UNION ALL SELECT source_id, 7, n, 1000, ['web', 'code', 'math', 'indic'][n % 4 + 1] FROM n WHERE n % 9 = 7),
+lt AS (SELECT l.lane, CAST(coalesce(sum(t), 0) AS BIGINT) AS target_tokens FROM (SELECT unnest(['web', 'code', 'math', 'indic', 'multilingual']) AS lane) l LEFT JOIN m USING (lane) GROUP BY l.lane)"""
+
+
+@query(SOURCES + " SELECT source_id, CASE k WHEN 1 THEN 'lane' WHEN 2 THEN 'provenance_tier' WHEN 3 THEN 'dataset' WHEN 4 THEN 'license' WHEN 5 THEN 'target_tokens' WHEN 6 THEN 'gated' ELSE 'duplicate source_id' END AS problem FROM m WHERE k BETWEEN 1 AND 7 UNION ALL SELECT NULL, 'no source for ' || lane FROM lt WHERE target_tokens = 0 UNION ALL SELECT NULL, 'pool size' WHERE (SELECT abs(sum(t) - 10000000) > 500000 FROM m)")
+def sources_validation(spark, d):
+    return R.source_problems(_sources(spark, d))
+
+
+@query(SOURCES + " SELECT * FROM lt")
+def lane_targets(spark, d):
+    return R.lane_targets(_sources(spark, d))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (violation = 'vantage') AS vantage, count(*) FILTER (violation = 'no contrast') AS no_contrast, count(*) FILTER (violation = 'y_minus') AS y_minus FROM (SELECT CASE WHEN item_id % 4 = 1 THEN 'vantage' WHEN item_id % 4 = 2 THEN 'no contrast' WHEN item_id % 4 = 3 THEN 'y_minus' END AS violation FROM benchmark)")
+def pair_violations(spark, d):
+    """Pairs of which one in four has another vantage, no contrast, or no second text."""
+    pairs = _pairs(spark, d).join(R.benchmark(spark, d).select(F.format_string("pair-%04d", F.row_number().over(Window.orderBy("pos"))).alias("id"), F.col("pos").alias("item")), "id")
+    k = F.col("item") % 4
+    broken = pairs.withColumns({"vantage": F.when(k == 1, "none").otherwise(F.col("vantage")), "y_minus": F.when(k == 2, F.col("y_plus")).when(k == 3, " ").otherwise(F.col("y_minus"))}).select(G.pair_violation().alias("v"))
+    n = lambda v: F.sum(F.when(F.col("v") == v, 1).otherwise(0)).cast("long").alias(v.replace(" ", "_"))
+    return broken.agg(F.count("*").alias("n"), n("vantage"), n("no contrast"), n("y_minus"))
+
+
+#: Contrastive pairs made of benchmark items: words 1 to 20, then the rest, or the rest with another letter.
+PAIRS = "pairs AS (SELECT printf('pair-%04d', row_number() OVER (ORDER BY item_id)) AS id, item_id, array_to_string(str_split(text, ' ')[1:20], ' ') AS prefix, 'so ' || array_to_string(str_split(text, ' ')[21:], ' ') AS y_plus, 'but ' || replace(array_to_string(str_split(text, ' ')[21:], ' '), 'e', 'o') AS y_minus FROM benchmark)"
+
+
+def _pairs(spark, d):
+    w = F.split("text", " ")
+    rest = F.array_join(F.slice(w, 21, F.greatest(F.size(w), F.lit(1))), " ")
+    spec = R.benchmark(spark, d).select("pos", F.lit("item").alias("topic"), F.array_join(F.slice(w, 1, 20), " ").alias("prefix"), F.concat(F.lit("so "), rest).alias("y_plus"), F.concat(F.lit("but "), F.replace(rest, F.lit("e"), F.lit("o"))).alias("y_minus"))
+    return G.minted_pairs(spec)
+
+
+@query(f", {PAIRS} SELECT id, prefix, y_plus, y_minus FROM pairs")
+def contrastive_pairs(spark, d):
+    return _pairs(spark, d).select("id", "prefix", "y_plus", "y_minus")
+
+
+@query(f", {PAIRS} SELECT count(*) AS pairs, CAST(sum(greatest(1, strlen(prefix || ' ' || y_plus) // 4) + greatest(1, strlen(prefix || ' ' || y_minus) // 4)) AS BIGINT) AS tokens FROM pairs")
+def pair_token_estimate(spark, d):
+    return G.pair_tokens(_pairs(spark, d))
+
+
+@query(f", {PAIRS}, pt AS (SELECT id, prefix || ' ' || y_plus AS text FROM pairs UNION ALL SELECT id, prefix || ' ' || y_minus FROM pairs UNION ALL SELECT {BENCH_ID}, text FROM benchmark), g AS ({grams_sql('pt', 'id')}) SELECT gram, count(*) AS n_sources FROM g GROUP BY gram HAVING count(*) <= (SELECT greatest(1, CAST(floor(0.30 * count(DISTINCT id)) AS BIGINT)) FROM pt)")
+def contam_index_pairs(spark, d):
+    return C.contamination_index(R.benchmark(spark, d), pairs=_pairs(spark, d)).select("gram", F.size("sources").cast("long").alias("n_sources"))
+
+
+@query(MIX + " SELECT lane, CAST(sum(CAST(trunc(floor * budget) AS BIGINT)) AS BIGINT) AS floor_tokens FROM plan GROUP BY lane")
+def floor_tokens(spark, d):
+    return G.floor_tokens(G.compile_mixture(G.mixture_rows(spark), MIX_TOTAL))
+
+
+@query(MIX + " SELECT lane, CAST(sum(planned_tokens) AS BIGINT) AS planned_tokens, (SELECT bool_and(planned_tokens >= ft) FROM plan) AS all_floors_met FROM plan GROUP BY lane")
+def mixture_report(spark, d):
+    return G.mixture_report(G.compile_mixture(G.mixture_rows(spark), MIX_TOTAL))
 
 
 @query(r"SELECT pretoken, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, ' ?\S+|\s+')) AS pretoken FROM corpus) GROUP BY pretoken")
@@ -284,38 +402,63 @@ def bpe_encode(spark, d):
 
 
 @query(
-    ", i AS (SELECT lane, id, est_tokens AS n, row_number() OVER (PARTITION BY lane ORDER BY id) AS k FROM corpus), s AS (WITH RECURSIVE s(lane, k, id, n, bin, used) AS (SELECT lane, k, id, n, 0::BIGINT, n FROM i WHERE k = 1 UNION ALL SELECT i.lane, i.k, i.id, i.n, CASE WHEN s.used + i.n > 8192 THEN s.bin + 1 ELSE s.bin END, CASE WHEN s.used + i.n > 8192 THEN i.n ELSE s.used + i.n END FROM s JOIN i ON i.lane = s.lane AND i.k = s.k + 1) SELECT * FROM s) SELECT lane, id, n, bin FROM s"
+    ", i AS (SELECT lane, id, est_tokens AS n, row_number() OVER (PARTITION BY lane ORDER BY doc_id) AS k FROM corpus), s AS (WITH RECURSIVE s(lane, k, id, n, bin, used) AS (SELECT lane, k, id, n, 0::BIGINT, n FROM i WHERE k = 1 UNION ALL SELECT i.lane, i.k, i.id, i.n, CASE WHEN s.used + i.n > 8192 THEN s.bin + 1 ELSE s.bin END, CASE WHEN s.used + i.n > 8192 THEN i.n ELSE s.used + i.n END FROM s JOIN i ON i.lane = s.lane AND i.k = s.k + 1) SELECT * FROM s) SELECT lane, id, n, bin FROM s"
 )
 def nextfit_bins(spark, d):
-    return P.bins(R.corpus(spark, d).select("lane", "id", F.col("est_tokens").alias("n")), ["lane"], 8192)
+    docs = R.corpus(spark, d)
+    return P.bins(docs.select("lane", "pos", F.col("est_tokens").alias("n")), ["lane"], 8192).join(docs.select("pos", "id"), "pos").drop("pos")
 
 
-def _byte_docs(spark, d):
-    """Documents with the bytes of their texts as tokens, so that SQL can follow."""
-    codes = F.transform(F.split("text", " "), lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(1000)).cast("int"))
-    return R.corpus(spark, d).select("id", "lane", "provenance_tier", F.lit("train").alias("split"), codes.alias("tokens"))
+def _word_docs(spark, d):
+    """Documents with the lengths of their words as tokens, so that SQL can follow."""
+    lengths = F.transform(F.split("text", " "), lambda w: F.least(F.length(w), F.lit(60000)))
+    return R.corpus(spark, d).select("id", "pos", "lane", "provenance_tier", F.lit("train").alias("split"), lengths.alias("tokens"))
 
 
-PACK = ", i AS (SELECT lane, id, len(str_split(text, ' ')) AS whole, least(256, len(str_split(text, ' '))) AS n, row_number() OVER (PARTITION BY lane ORDER BY id) AS k FROM corpus), s AS (WITH RECURSIVE s(lane, k, id, whole, n, bin, used) AS (SELECT lane, k, id, whole, n, 0::BIGINT, n FROM i WHERE k = 1 UNION ALL SELECT i.lane, i.k, i.id, i.whole, i.n, CASE WHEN s.used + i.n > 256 THEN s.bin + 1 ELSE s.bin END, CASE WHEN s.used + i.n > 256 THEN i.n ELSE s.used + i.n END FROM s JOIN i ON i.lane = s.lane AND i.k = s.k + 1) SELECT * FROM s)"
+PACK = ", i AS (SELECT lane, id, len(str_split(text, ' ')) AS whole, least(256, len(str_split(text, ' '))) AS n, row_number() OVER (PARTITION BY lane ORDER BY doc_id) AS k FROM corpus), s AS (WITH RECURSIVE s(lane, k, id, whole, n, bin, used) AS (SELECT lane, k, id, whole, n, 0::BIGINT, n FROM i WHERE k = 1 UNION ALL SELECT i.lane, i.k, i.id, i.whole, i.n, CASE WHEN s.used + i.n > 256 THEN s.bin + 1 ELSE s.bin END, CASE WHEN s.used + i.n > 256 THEN i.n ELSE s.used + i.n END FROM s JOIN i ON i.lane = s.lane AND i.k = s.k + 1) SELECT * FROM s)"
 
 
 @query(PACK + ", q AS (SELECT lane, bin, sum(n) AS r FROM s GROUP BY ALL) SELECT count(*) AS n_sequences, count(*) * 256 AS capacity_tokens, CAST(sum(r) AS BIGINT) AS real_tokens, CAST(count(*) * 256 - sum(r) AS BIGINT) AS padding_tokens, CAST((SELECT sum(whole) FROM i) - sum(r) AS BIGINT) AS truncated_tokens, CAST(sum(r) - (SELECT count(*) FROM i) AS BIGINT) AS loss_positions, round(sum(r)::DOUBLE / (count(*) * 256)::DOUBLE, 6) AS packing_efficiency, round(sum(r)::DOUBLE / (SELECT sum(whole) FROM i)::DOUBLE, 6) AS token_yield FROM q")
 def packing_report(spark, d):
-    docs = _byte_docs(spark, d)
+    docs = _word_docs(spark, d)
     return P.packing_report(docs, P.pack(docs, keys=("lane",)))
 
 
 @query(PACK + " SELECT lane, bin AS seq, CAST(sum(n) AS BIGINT) AS n_real, CAST(sum(n) - count(*) AS BIGINT) AS loss_positions, count(*) AS n_docs FROM s GROUP BY ALL")
 def loss_mask(spark, d):
-    packed = P.pack(_byte_docs(spark, d), keys=("lane",))
+    packed = P.pack(_word_docs(spark, d), keys=("lane",))
     return packed.select("lane", "seq", "n_real", F.expr("aggregate(loss_mask, 0L, (s, x) -> s + x)").alias("loss_positions"), F.size("doc_ids").cast("long").alias("n_docs"))
 
 
+@query(PACK + ", q AS (SELECT lane, bin AS seq, flatten(list(range(n) ORDER BY k)) AS p, flatten(list(list_transform(range(n), lambda x: o) ORDER BY k)) AS g, flatten(list(list_transform(range(n), lambda x: CASE WHEN x < n - 1 THEN 1 ELSE 0 END) ORDER BY k)) AS m, CAST(sum(n * (n + 1) // 2) AS BIGINT) AS attended FROM (SELECT *, row_number() OVER (PARTITION BY lane, bin ORDER BY k) - 1 AS o FROM s) GROUP BY ALL) SELECT lane, seq, array_to_string(list_resize(p, 256, 0), ',') AS position_ids, array_to_string(list_resize(g, 256, -1), ',') AS segment_ids, array_to_string(list_resize(m, 256, 0), ',') AS loss_mask, attended FROM q".replace("GROUP BY ALL)", "GROUP BY lane, bin)", 2).replace("SELECT *, row_number() OVER (PARTITION BY lane, bin", "SELECT s.*, row_number() OVER (PARTITION BY lane, bin"))
+def packed_masks(spark, d):
+    """Every place of every sequence, and how many places the attention mask lets its places look at."""
+    packed = P.pack(_word_docs(spark, d), keys=("lane",))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    looks = F.expr("aggregate(mask, 0L, (s, r) -> s + size(filter(r, x -> x)))")
+    return packed.withColumn("mask", P.attention_mask(F.col("segment_ids"))).select("lane", "seq", joined("position_ids"), joined("segment_ids"), joined("loss_mask"), looks.alias("attended"))
+
+
+@query("SELECT id, CAST(len(str_split(text, ' ')) AS BIGINT) AS n, CAST(list_sum(list_transform(str_split(text, ' '), lambda x: least(length(x), 60000))) AS BIGINT) AS total FROM corpus")
+def shard_reader(spark, d):
+    """Shards written as bytes, read back and parted into their documents."""
+    path = R.written(spark.range(1)).inputFiles()[0].rpartition("/")[0] + "-shards"
+    P.write_shards(P.shards(_word_docs(spark, d), 61001, 61002, cap=4096), path)
+    return P.iter_docs(P.read_shards(spark, path), "train").select("id", F.size("tokens").cast("long").alias("n"), F.expr("aggregate(tokens, 0L, (s, x) -> s + x)").alias("total"))
+
+
+@query(f", {PAIRS}, n AS (SELECT id, least(32, len(str_split(prefix, ' '))) AS a, least(32, len(str_split(prefix, ' ')) + len(str_split(y_plus, ' '))) AS b FROM pairs) SELECT id, CAST(a - 1 AS BIGINT) AS cont_start, CAST(b - 1 AS BIGINT) AS cont_end, CAST(greatest(0, b - a) AS BIGINT) AS scored FROM n")
+def pack_pairs(spark, d):
+    lengths = lambda c: F.transform(F.split(c, " "), F.length)
+    own = P.pack_pair(_pairs(spark, d).select("id", lengths("prefix").alias("prefix_tokens"), lengths("y_plus").alias("cont_tokens")), 32)
+    return own.select("id", F.col("cont_start").cast("long").alias("cont_start"), F.col("cont_end").cast("long").alias("cont_end"), F.expr("aggregate(loss_mask, 0L, (s, x) -> s + x)").alias("scored"))
+
+
 def _shards(spark, d):
-    return R.written(P.shards(_byte_docs(spark, d), 1001, 1002, cap=4096))
+    return R.written(P.shards(_word_docs(spark, d), 61001, 61002, cap=4096))
 
 
-SHARDS = ", i AS (SELECT lane, id, len(str_split(text, ' ')) + 2 AS n, row_number() OVER (PARTITION BY lane ORDER BY id) AS k FROM corpus), s AS (WITH RECURSIVE s(lane, k, id, n, bin, used) AS (SELECT lane, k, id, n, 0::BIGINT, n FROM i WHERE k = 1 UNION ALL SELECT i.lane, i.k, i.id, i.n, CASE WHEN s.used + i.n > 4096 THEN s.bin + 1 ELSE s.bin END, CASE WHEN s.used + i.n > 4096 THEN i.n ELSE s.used + i.n END FROM s JOIN i ON i.lane = s.lane AND i.k = s.k + 1) SELECT * FROM s), q AS (SELECT lane, bin, sum(n) AS t, count(*) AS c FROM s GROUP BY ALL)"
+SHARDS = ", i AS (SELECT lane, id, len(str_split(text, ' ')) + 2 AS n, row_number() OVER (PARTITION BY lane ORDER BY doc_id) AS k FROM corpus), s AS (WITH RECURSIVE s(lane, k, id, n, bin, used) AS (SELECT lane, k, id, n, 0::BIGINT, n FROM i WHERE k = 1 UNION ALL SELECT i.lane, i.k, i.id, i.n, CASE WHEN s.used + i.n > 4096 THEN s.bin + 1 ELSE s.bin END, CASE WHEN s.used + i.n > 4096 THEN i.n ELSE s.used + i.n END FROM s JOIN i ON i.lane = s.lane AND i.k = s.k + 1) SELECT * FROM s), q AS (SELECT lane, bin, sum(n) AS t, count(*) AS c FROM s GROUP BY ALL)"
 
 
 @query(SHARDS + " SELECT CASE WHEN grouping(lane) = 1 AND grouping(split) = 1 THEN NULL ELSE split END AS split, lane, count(*) AS shards, CAST(sum(c) AS BIGINT) AS docs, CAST(sum(t) AS BIGINT) AS tokens FROM (SELECT *, 'train' AS split FROM q) GROUP BY GROUPING SETS ((split), (lane), ())")
@@ -327,20 +470,20 @@ def shard_index(spark, d):
 def shard_verify(spark, d):
     """Shards of odd number are tampered with: one token of each is another than the index says."""
     own = _shards(spark, d)
-    odd = F.pmod(F.substring_index("shard_id", "-", -1).cast("int"), F.lit(2)) == 1
+    odd = F.pmod("bin", F.lit(2)) == 1
     broken = own.withColumn("tokens", F.when(odd, F.transform("tokens", lambda x, i: F.when(i == 0, x + 1).otherwise(x))).otherwise(F.col("tokens")))
     return P.verify_shards(broken, own)
 
 
 def _stream(spark, d, **options):
-    packed = P.pack(_byte_docs(spark, d), keys=("lane",))
+    packed = P.pack(_word_docs(spark, d), keys=("lane",))
     rows = packed.select("lane", F.xxhash64("lane", "seq").alias("seq"), "tokens", F.expr("aggregate(loss_mask, 0L, (s, x) -> s + x)").alias("n_loss"))
     return B.BatchStream(R.written(rows), **options)
 
 
 @query(PACK + ", q AS (SELECT lane, count(DISTINCT bin) AS n FROM s GROUP BY lane) SELECT lane, n, n::DOUBLE / (SELECT sum(n) FROM q)::DOUBLE AS p FROM q")
 def lane_probs(spark, d):
-    return B.lane_probabilities(P.pack(_byte_docs(spark, d), keys=("lane",)))
+    return B.lane_probabilities(P.pack(_word_docs(spark, d), keys=("lane",)))
 
 
 @query("SELECT doc_id AS batch_index, CAST(('0x' || substr(sha256('v5-batch-stream-2026:' || CAST(doc_id AS VARCHAR)), 1, 16))::UBIGINT AS VARCHAR) AS seed FROM corpus")
@@ -374,14 +517,47 @@ def minhash_near_dups(spark, d):
 @query(
     r""", t AS (SELECT id, [x for x in str_split_regex(text, '\s+') if x <> ''] AS w FROM corpus), g AS (SELECT id, w[i] AS a, w[i + 1] AS b FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM t)),
 n AS (SELECT a, b, count(*) AS n FROM g GROUP BY ALL), m AS (SELECT a, sum(n) AS m FROM n GROUP BY a), v AS (SELECT count(DISTINCT b) AS v FROM n),
-u AS (SELECT 'bench-' || lpad(CAST(item_id AS VARCHAR), 7, '0') AS id, [x for x in str_split_regex(text, '\s+') if x <> ''] AS w FROM benchmark), h AS (SELECT id, w[i] AS a, w[i + 1] AS b FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM u)),
+u AS (SELECT printf('bench-%07d', item_id) AS id, [x for x in str_split_regex(text, '\s+') if x <> ''] AS w FROM benchmark), h AS (SELECT id, w[i] AS a, w[i + 1] AS b FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM u)),
 p AS (SELECT id, -ln((coalesce(n, 0) + 1)::DOUBLE / (coalesce(m, 0) + v)::DOUBLE) AS s FROM h LEFT JOIN n USING (a, b) LEFT JOIN m USING (a), v) SELECT id, count(*) AS tokens, round(sum(s), 4) AS surprisal, round(sum(s) / count(*), 4) AS per_token FROM p GROUP BY id"""
 )
 def pair_surprisal(spark, d):
     return S.pair_surprisal(R.corpus(spark, d), R.benchmark(spark, d))
 
 
-@query(COUNTS + " SELECT 'eval tier' AS \"check\", 0::BIGINT AS violations, true AS ok UNION ALL SELECT 'duplicate ids', 0, true UNION ALL SELECT 'dangling ids', 0, true")
+def _surprisal_sql(name: str, texts: str) -> str:
+    return rf"""u_{name} AS (SELECT id, [x for x in str_split_regex(text, '\s+') if x <> ''] AS w FROM ({texts})), h_{name} AS (SELECT id, w[i] AS a, w[i + 1] AS b FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM u_{name})),
+{name} AS (SELECT id, round(sum(s), 4) AS surprisal, round(sum(s) / count(*), 4) AS per_token FROM (SELECT id, -ln((coalesce(n, 0) + 1)::DOUBLE / (coalesce(m, 0) + v)::DOUBLE) AS s FROM h_{name} LEFT JOIN n USING (a, b) LEFT JOIN m USING (a), v) GROUP BY id)"""
+
+
+@query(
+    rf""", {PAIRS}, t AS (SELECT id, [x for x in str_split_regex(text, '\s+') if x <> ''] AS w FROM corpus), g AS (SELECT id, w[i] AS a, w[i + 1] AS b FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM t)),
+n AS (SELECT a, b, count(*) AS n FROM g GROUP BY ALL), m AS (SELECT a, sum(n) AS m FROM n GROUP BY a), v AS (SELECT count(DISTINCT b) AS v FROM n), {_surprisal_sql("minus", "SELECT id, prefix || ' ' || y_minus AS text FROM pairs")}, {_surprisal_sql("plus", "SELECT id, prefix || ' ' || y_plus AS text FROM pairs")}
+SELECT id, round(minus.surprisal - plus.surprisal, 4) AS delta_s_sum, round(minus.per_token - plus.per_token, 4) AS delta_s_per_token FROM minus JOIN plus USING (id)"""
+)
+def delta_s(spark, d):
+    """How much more the second text of a pair surprises than the first."""
+    return S.contrast(R.corpus(spark, d), _pairs(spark, d))
+
+
+@query(f"SELECT 'eval tier' AS \"check\", count(*) FILTER (doc_id % 3 = 0 AND provenance_tier NOT IN ('T0', 'T1') AND length(regexp_replace(text, '\\s+', '', 'g')) > 0) AS violations, count(*) FILTER (doc_id % 3 = 0 AND provenance_tier NOT IN ('T0', 'T1') AND length(regexp_replace(text, '\\s+', '', 'g')) > 0) = 0 AS ok FROM corpus UNION ALL SELECT 'duplicate ids', count(*), count(*) = 0 FROM corpus WHERE doc_id % 50 = 0 UNION ALL SELECT 'dangling ids', count(*), count(*) = 0 FROM benchmark UNION ALL SELECT 'unknown sources', 0, true")
 def audit(spark, d):
-    docs = R.written(routed(spark, d).withColumn("source", F.col("source_id")))
-    return S.audit({"eval tier": docs.where(G.violation() == "eval tier"), "duplicate ids": G.duplicate_ids(docs), "dangling ids": G.dangling(docs.where("split = 'eval'"), docs)})
+    """Every third document is evaluation data whatever its tier, every fiftieth comes twice, the manifest has benchmark items;
+    only the last check passes."""
+    docs = R.corpus(spark, d).withColumns({"source": F.col("source_id"), "split": F.when(F.col("doc_id") % 3 == 0, "eval").otherwise("train")})
+    both = docs.unionByName(docs.where("doc_id % 50 = 0"))
+    manifest = docs.where("split = 'eval'").select("id").unionByName(R.benchmark(spark, d).select("id"))
+    return S.audit({"eval tier": docs.where(G.violation() == "eval tier"), "duplicate ids": G.duplicate_ids(both), "dangling ids": G.dangling(manifest, docs), "unknown sources": S.unmatched(docs.select(R.source_of(F.col("id")).alias("source_id")), docs, "source_id")})
+
+
+@query("SELECT doc_id AS batch_index FROM corpus WHERE doc_id % 4 = 1")
+def ledger_gaps(spark, d):
+    """Learning of every batch, consumption of those of every fourth number missing."""
+    learnt = R.corpus(spark, d).select(F.col("doc_id").alias("batch_index"))
+    return S.unmatched(learnt, learnt.where("batch_index % 4 <> 1"), "batch_index")
+
+
+@query()
+def run_plan(spark, d):
+    """Rows only: the whole chain, from the evaluation split to the audit of its ledgers, as facts of each stage."""
+    path = R.written(spark.range(1)).inputFiles()[0].rpartition("/")[0] + "-run"
+    return chain.run(R.corpus(spark, d), R.benchmark(spark, d), _pairs(spark, d), path, cap=16384)

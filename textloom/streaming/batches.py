@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
+from textloom.operators.order import positions
 from textloom.operators.packing import tokens_hash
+from textloom.sources.corpus import append, read_parquet
+from textloom.sources.tables import written
 
 MASTER_SEED, BATCH = "v5-batch-stream-2026", 8
 
@@ -51,11 +55,16 @@ class BatchStream:
     def __init__(self, sequences: DataFrame, seed: str = MASTER_SEED, batch_size: int = BATCH, weights: dict[str, float] | None = None):
         self.sequences, self.seed, self.batch_size, self.weights = sequences, seed, batch_size, weights
         self.lanes = [tuple(r) for r in lane_probabilities(sequences, weights).orderBy("lane").collect()]
-        place = F.row_number().over(Window.partitionBy("lane").orderBy("seq")) - 1
-        self.placed = sequences.withColumn("place", place.cast("long"))
+        # Places are numbered over (lane, seq) alone and written once; tokens meet them only where they are drawn.
+        ranked = positions(sequences.select("lane", "seq"), "lane", "seq", name="rank_")
+        first = ranked.groupBy("lane").agg(F.min("rank_").alias("first_"))
+        self.placed = written(ranked.join(F.broadcast(first), "lane").select("lane", "seq", (F.col("rank_") - F.col("first_")).alias("place")))
 
     def reseed(self, seed: str) -> BatchStream:
-        return BatchStream(self.sequences, seed, self.batch_size, self.weights)
+        """The same sequences under another seed."""
+        other = copy(self)
+        other.seed = seed
+        return other
 
     def slots(self, start: int, stop: int) -> DataFrame:
         """batch_index, slot, lane, place of the batches from start to stop."""
@@ -69,7 +78,7 @@ class BatchStream:
 
     def batches(self, start: int, stop: int) -> DataFrame:
         """batch_index, batch_id, content_hash, seq_indices, n_tokens, n_loss of the batches from start to stop."""
-        rows = self.slots(start, stop).join(self.placed, ["lane", "place"])
+        rows = self.slots(start, stop).join(self.placed, ["lane", "place"]).join(self.sequences, ["lane", "seq"])
         each = rows.groupBy("batch_index").agg(F.array_sort(F.collect_list(F.struct("slot", "seq", "tokens", "n_loss"))).alias("r"))
 
         flat = F.flatten(F.transform("r", lambda x: x.tokens))
@@ -77,6 +86,25 @@ class BatchStream:
         return out.select("batch_index", F.substring("content_hash", 1, 16).alias("batch_id"), "content_hash", "seq_indices", "n_tokens", "n_loss")
 
 
+    def tokens_of(self, start: int, stop: int) -> DataFrame:
+        """batch_index, slot, tokens: the rows of the batches' matrices."""
+        rows = self.slots(start, stop).join(self.placed, ["lane", "place"]).join(self.sequences, ["lane", "seq"])
+        return rows.select("batch_index", "slot", "tokens")
+
+
+LEDGER = "batch_index long, batch_id string, content_hash string, seq_indices array<long>, n_tokens long, n_loss long"
+
+
+def consume(stream: BatchStream, path: str, target: int) -> DataFrame:
+    """Appends the batches before target that the ledger at path lacks, and returns them. The ledger's offset never falls:
+    a smaller target adds nothing."""
+    spark = stream.sequences.sparkSession
+    ledger = read_parquet(spark, path, LEDGER)
+    new = written(resume(stream, ledger, target))
+    append(new, path)
+    return new
+
+
 def offset(ledger: DataFrame) -> int:
     """The next batch: one more than the largest number in the stored ledger, whatever session wrote it."""
     return (ledger.agg(F.max("batch_index")).first()[0] + 1) if ledger.limit(1).count() else 0
@@ -142,4 +170,4 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(SlotSource)
 
 
-__all__ = ["BatchStream", "SlotSource", "derive_seed", "draw", "fork", "lane_probabilities", "offset", "register", "replay", "resume"]
+__all__ = ["LEDGER", "BatchStream", "SlotSource", "consume", "derive_seed", "draw", "fork", "lane_probabilities", "offset", "register", "replay", "resume"]
