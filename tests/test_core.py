@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 
 def rows(spark, texts):
-    return spark.createDataFrame([(f"s-{k:07d}", t) for k, t in enumerate(texts)], "id string, text string")
+    return spark.createDataFrame([(f"s-{k:07d}", k, t) for k, t in enumerate(texts)], "id string, pos long, text string")
 
 
 def test_normalize_follows_each_step(spark):
@@ -40,9 +40,9 @@ def test_phones_need_a_mark_and_digits(spark):
 
 def test_signature_is_exact():
     rng = random.Random(1)
-    hashes = [rng.randrange(1 << 32) for _ in range(50)]
-    assert C.signature(np.array(hashes, np.uint64)).tolist() == [min((a * h + b) % C.PRIME for h in hashes) for a, b in C.COEFFICIENTS]
-    assert set(C.signature(np.array([], np.uint64)).tolist()) == {C.PRIME}
+    runs = [[rng.randrange(1 << 32) for _ in range(n)] for n in (50, 0, 1, 7)]
+    got = C.signatures_of(np.array([h for x in runs for h in x], np.uint64), np.cumsum([0, 50, 0, 1])).tolist()
+    assert got == [[min([(a * h + b) % C.PRIME for h in own], default=C.PRIME) for a, b in C.COEFFICIENTS] for own in runs]
 
 
 def test_near_duplicates_keep_the_first_and_chains_do_not_collapse(spark):
@@ -63,6 +63,7 @@ def test_selection_equals_the_sequential_rule(spark):
         total[lane] += n * (d == "accept")
         want[i] = (d, total[lane])
     df = spark.createDataFrame(cand, "id string, lane string, tokens long, quality double, delta_s double").repartition(7)
+    assert "pos" not in df.columns
     lim = spark.createDataFrame([(k, *v) for k, v in limits.items()], "lane string, target long, floor long")
     assert {r.id: (r.decision, r.lane_total_after) for r in G.select(df, lim).collect()} == want
 
@@ -77,7 +78,7 @@ def test_merges_and_round_trip(spark):
 
 
 def test_packing(spark):
-    docs = spark.createDataFrame([("a", "x", [1, 2, 3, 4]), ("b", "x", [5, 6, 7, 8, 9]), ("c", "x", [1, 1, 1])], "id string, lane string, tokens array<int>")
+    docs = spark.createDataFrame([("a", 1, "x", [1, 2, 3, 4]), ("b", 2, "x", [5, 6, 7, 8, 9]), ("c", 10, "x", [1, 1, 1])], "id string, pos long, lane string, tokens array<int>")
     seqs = P.pack(docs, seq_len=8).orderBy("seq").collect()
     assert [r.doc_ids for r in seqs] == [["a"], ["b", "c"]]
     assert seqs[1].segment_ids == [0, 0, 0, 0, 0, 1, 1, 1] and seqs[1].loss_mask == [1, 1, 1, 1, 0, 1, 1, 0] and seqs[0].position_ids[4:] == [0, 0, 0, 0]
