@@ -332,13 +332,15 @@ def links(prints: DataFrame, distance: int = DISTANCE, k: int = 1, nearest: bool
         for batch in batches:
             for at in range(0, len(batch), ROWS):
                 buckets, n = np.unique(bucket_keys(held(batch, at))[0], return_counts=True)
-                often = n >= 4
-                yield pd.DataFrame({"bucket": buckets[often], "n": n[often]})
+                yield pd.DataFrame({"bucket": buckets, "n": n * every})
         release()
 
-    # A bucket above the limit is told by its blocks that hold 4 of it or more.
-    told = prints.select("fp").mapInPandas(tell, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > BUCKET)
-    hot = {r[0]: -(-r[1] // BUCKET) for r in told.limit(100_000).collect()}
+    # Which buckets are to be cut is told by a part of the fingerprints, chosen by hash; it decides on tasks, not on links.
+    every = max(1, BUCKET // 300)
+    part_of = prints.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).select("fp")
+    told = part_of.mapInPandas(tell, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > BUCKET)
+    # The largest, as many as a driver holds; a bucket beyond them is one task's.
+    hot = {r[0]: -(-r[1] // BUCKET) for r in told.orderBy(F.desc("n"), "bucket").limit(100_000).collect()}
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
