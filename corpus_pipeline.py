@@ -1,9 +1,12 @@
 """A corpus pipeline: quality, exact duplicates, near duplicates, a mix of sources, then tokens.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns a DataFrame that is
-written as Parquet and read again as the next stage's docs. The first four return the columns of documents. A document
-that the mix takes twice is two rows from there on. Stages define nulls, empty texts, repeated rows and empty tables as
-their operators do.
+written as Parquet and read again as the next stage's docs. The first four return the columns of documents, whatever other
+columns there are. A document that the mix takes twice is two rows from there on.
+
+Defined cases: a null text is the empty text in every stage, and stays null in what is returned; quality scores it like any
+other; all texts of white space only are exact copies of each other, of which one stays; a null doc_id is larger than any
+other; rows that repeat wholly are copies; the mix may take a row of any of these twice; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -47,7 +50,7 @@ STAGES = [
     ("bpe", encode_tokens),
 ]
 
-#: Trees, fingerprints and merges can't be written in SQL; tests hold the stages against brute force.
+#: Trees, fingerprints and merges can't be written in SQL; tests/llm holds each stage against a plain version of it.
 ORACLE_SQL = None
 
 
