@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from textloom.llm import bpe, edit_count, exact_dedup, line_dedup, lm, mixing, pii, quality, simhash, topk
+from textloom.llm import bpe, edit_count, exact_dedup, line_dedup, mixing, pii, quality, simhash, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, rid int, fp int"
 
@@ -138,12 +138,6 @@ def test_line_dedup(spark, tmp_path):
     assert got == {1: (f"{p}\n{q}\nfirst own line of some words", 0), 2: ("another line of its own here", 2), 3: ("", 0), 4: ("short", 0), 5: ("short", 0)}
 
 
-def test_lm_is_a_distribution_of_known_counts(docs):
-    got = lm.score(docs).collect()
-    assert len(got) == len(ROWS) and all(r.score <= 0 and r.n_known <= r.n_tokens for r in got)
-    assert lm.score(docs.limit(0)).count() == 0
-
-
 def test_topk(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(0, 0.2, (150, 8)).astype("float32")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -71,6 +72,13 @@ def discard(*tables: DataFrame) -> None:
         _paths.remove(df._textloom_path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of steps that nothing refers to any more; it learns of them when the driver's JVM
+    collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all tables that ``written`` has made; to be called when no result is needed any more."""
     while _paths:

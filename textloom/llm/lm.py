@@ -2,8 +2,8 @@
 
 The model mixes maximum-likelihood estimates, P(w | v) = a2 c(v, w) / c(v) + a1 c(w) / N + a0 / (V + 1), with weights a
 chosen by the frequency bucket of the context v. Part of the training documents (HELD of FOLDS) is deleted from the
-counts and expectation-maximisation on it learns the weights; the counts of the final model are of all training
-documents. The word that ends a text is an event, the place before its first word a context, and V + 1 leaves a place
+counts, and expectation-maximisation over the exact counts of each of its tokens, a pass over the cluster a round, learns
+the weights; the counts of the final model are of all training documents. The word that ends a text is an event, the place before its first word a context, and V + 1 leaves a place
 for words never met, so a text's probabilities are those of a proper distribution.
 
 Texts become chunks of word numbers once. A chunk sends the sorted hashes of its distinct words and word pairs with
@@ -13,7 +13,8 @@ needs meets in its chunk, and the corpus is never in one place.
 
 Defined cases: a null text is the empty text, of one token, its end; null ids count as the empty text in the split and
 are carried along; rows that repeat count and score each; without training documents the score is 0 for every text;
-very long texts are scored whole; an empty table gives an empty result. Words are told apart by 64-bit hashes.
+very long texts are scored whole; an empty table gives an empty result. Words and word pairs are told
+apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -31,20 +32,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import body, remainder, table, written
+from textloom.llm.common import batches_of, body, discard, remainder, settle, slim_batches, table, written
 
 FOLDS, TEST, HELD = 7, 2, 3
 #: Words and pairs in one part, about; bytes of text and documents in a chunk, about.
 PART, CHUNK_BYTES, CHUNK_DOCS = 1_000_000, 10_000_000, 4000
+#: Bytes of chunks that a worker holds at once.
+BATCH = "12m"
 END, START = b"\n", b"\n\n"
-#: Bits of a pair's hash that aren't kept: 56 bits tell pairs apart, which packs them into five bytes.
-DROPPED = 8
-NONE, STEP = -1000, 4.0
+#: Rounds of expectation-maximisation at most, and the gain of log-likelihood a token below which they end.
+ROUNDS, GAIN = 20, 1e-5
+BUCKETS, START_WEIGHTS = 64, (0.5, 0.4, 0.1)
 
 
-def packed(values: np.ndarray, dropped: int = 0) -> bytes:
-    """Ascending uint64 values, without so many low bits, as differences of the fewest bytes."""
-    steps = np.diff(values >> np.uint64(dropped), prepend=np.uint64(0))
+def packed(values: np.ndarray) -> bytes:
+    """Ascending uint64 values as differences of the fewest bytes."""
+    steps = np.diff(values, prepend=np.uint64(0))
     width = max(1, (int(steps[1:].max() if len(steps) > 1 else 0).bit_length() + 7) // 8)
     head = int(steps[0]).to_bytes(8, "little") if len(steps) else b""
     return bytes([width]) + head + steps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
@@ -121,7 +124,7 @@ class Chunk:
             mixed ^= mixed >> np.uint64(29)
             mixed *= np.uint64(0xBF58476D1CE4E5B9)
             mixed ^= mixed >> np.uint64(32)
-            self.pairs = mixed & ~np.uint64((1 << DROPPED) - 1)
+            self.pairs = mixed
             self.pair_order = np.argsort(self.pairs)
 
     def counts(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +147,7 @@ def corpus_counts(table_of_chunks: DataFrame, parts_bits: int) -> DataFrame:
                 for kind, (hashes, order, a, b) in enumerate(zip((own.words, own.pairs), (own.order, own.pair_order), own.counts(train), own.counts(kept), strict=True)):
                     keys, a, b = hashes[order], a[order], b[order]
                     cuts = np.searchsorted(keys >> shift, np.arange((1 << parts_bits) + 1, dtype=np.uint64))
-                    rows += [(kind, p, row.chunk, packed(keys[x:y], DROPPED * kind), slim(a[x:y]), slim(b[x:y]), int(y - x)) for p, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+                    rows += [(kind, p, row.chunk, packed(keys[x:y]), slim(a[x:y]), slim(b[x:y]), int(y - x)) for p, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
                 yield pd.DataFrame(rows, columns=["kind", "part", "chunk", "keys", "every", "kept", "n"])
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
@@ -182,77 +185,104 @@ def known(row) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def em(cells: pd.DataFrame, rounds: int = 60) -> np.ndarray:
-    """(64, 3) weights of pair, word and uniform estimates by bucket. cells: bucket, pair, word (quarter binary logarithms
-    of the estimates over the uniform one, NONE for 0), n. A bucket starts from the weights of all buckets together."""
-    ratio = lambda x: np.where(x == NONE, 0.0, np.exp2(x / STEP))
-    n, of = cells["n"].to_numpy(float), cells["bucket"].to_numpy(np.int64)
-    parts = np.c_[ratio(cells["pair"].to_numpy(float)), ratio(cells["word"].to_numpy(float)), np.ones(len(cells))]
-    pooled, start = np.zeros_like(of), np.array([[0.5, 0.4, 0.1]])
-    for which, size in ((pooled, 1), (of, 64)):
-        weights = np.repeat(start, size, 0)
-        for _ in range(rounds if len(cells) else 0):
-            shares = weights[which] * parts
-            shares *= (n / shares.sum(1))[:, None]
-            sums = np.stack([np.bincount(which, shares[:, k], size) for k in range(3)], 1)
-            total = sums.sum(1, keepdims=True)
-            weights = np.where(total > 0, (sums + 1e-3 * start) / (total + 1e-3), weights)
-        start = weights[:1]
+def mixed(weights: np.ndarray, c_v: np.ndarray, c_w: np.ndarray, c_vw: np.ndarray, n: int, v: int) -> np.ndarray:
+    """(tokens, 3): what the pair's, the word's and the uniform estimate give to each token's probability."""
+    w = weights[buckets(c_v)]
+    w[c_v == 0, 1] += w[c_v == 0, 0]  # a context never met has no estimate of pairs
+    w[c_v == 0, 0] = 0
+    return w * np.stack([c_vw / np.maximum(c_v, 1), c_w / max(n, 1), np.full(len(c_v), 1 / (v + 1))], 1)
+
+
+def expected(weights: np.ndarray, counts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int, v: int) -> np.ndarray:
+    """Sums over held-out tokens: their shares by bucket and estimate, then their log-likelihood and number."""
+    out = np.zeros(3 * BUCKETS + 2)
+    for c_v, c_w, c_vw in counts:
+        if len(c_v):
+            shares = mixed(weights, c_v, c_w, c_vw, n, v)
+            total = shares.sum(1)
+            of = buckets(c_v)
+            for k in range(3):
+                out[k * BUCKETS : (k + 1) * BUCKETS] += np.bincount(of, shares[:, k] / total, BUCKETS)
+            out[-2:] += np.log(total).sum(), len(total)
+    return out
+
+
+def maximised(sums: np.ndarray) -> np.ndarray:
+    """The weights of each bucket: its tokens' shares; those of all buckets for one without tokens."""
+    by = sums[: 3 * BUCKETS].reshape(3, BUCKETS).T
+    pooled = by.sum(0) / by.sum() if by.sum() else np.array(START_WEIGHTS)
+    weights = (by + 1e-3 * pooled) / (by.sum(1, keepdims=True) + 1e-3)
     return np.maximum(weights, 1e-9) / np.maximum(weights, 1e-9).sum(1, keepdims=True)
 
 
+def held_counts(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64).reshape(3, -1))
+
+
+def em(ready: DataFrame, n: int, v: int) -> tuple[np.ndarray, list[float]]:
+    """(weights by bucket, log-likelihood a token before each round). ready: held, the counts of held-out tokens."""
+    weights, likelihoods = np.repeat([START_WEIGHTS], BUCKETS, 0), []
+    for _ in range(ROUNDS):
+
+        def run(batches: Iterator[pd.DataFrame], weights=weights) -> Iterator[pd.DataFrame]:
+            sums = sum((expected(weights, map(held_counts, batch["held"]), n, v) for batch in batches), np.zeros(3 * BUCKETS + 2))
+            yield pd.DataFrame({"at": np.arange(len(sums)), "x": sums})
+
+        sums = np.zeros(3 * BUCKETS + 2)
+        for at, x in ready.select("held").mapInPandas(run, "at int, x double").groupBy("at").agg(F.sum("x")).collect():
+            sums[at] = x
+        if not sums[-1]:
+            break
+        likelihoods.append(sums[-2] / sums[-1])
+        weights = maximised(sums)
+        if len(likelihoods) > 1 and likelihoods[-1] - likelihoods[-2] < GAIN:
+            break
+    return weights, likelihoods
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    spark = docs.sparkSession
     # A row holds a chunk of some megabytes; few of them are to be in a worker at once.
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "12m")
-    whole = written(chunks(docs))
-    tokens = whole.agg(F.sum("n")).first()[0] or 0
-    bits = max(3, math.ceil(math.log2(tokens / PART + 1)))
-    found = written(corpus_counts(whole, bits))
-    v, n, kept_v, kept_n = found.where("chunk = -1 AND kind = 0").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("v", "n", "kept_v", "kept_n")]).first()
-    starts = starts_of(whole)
-    n, kept_n, v, kept_v = n - starts[0], kept_n - starts[1], v - (starts[0] > 0), kept_v - (starts[1] > 0)
-
-    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples():
-                row = pd.Series(row._asdict())
-                row["own"], row["bits"] = own, row["bits"] = Chunk(row), bits
-                (words, kept_words), (pairs, kept_pairs) = known(row)
-                held = own.fold == HELD
-                c_v, c_w, c_vw = kept_words[own.before[held]], kept_words[own.tokens[held]], kept_pairs[own.pair_of[held]]
-                log = lambda top, bottom: np.where(top > 0, np.round(STEP * np.log2(np.maximum(top, 1) * (kept_v + 1.0) / np.maximum(bottom, 1))), NONE).astype(np.int64)
-                cells, times = np.unique(np.c_[buckets(c_v), log(c_vw, c_v), log(c_w, kept_n)], axis=0, return_counts=True)
-                yield pd.DataFrame([(row["doc_ids"], row["folds"], row["sizes"], len(own.words), row["tokens"], zlib.compress(slim(words), 1), zlib.compress(slim(pairs), 1), np.c_[cells, times].astype("<i8").tobytes())], columns=["doc_ids", "folds", "sizes", "n_words", "tokens", "of_words", "of_pairs", "cells"])
-
-    own_counts = found.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("kind", "part", "every", "kept")).alias("found"))
-    kinds = "doc_ids array<long>, folds binary, sizes binary, n_words int, tokens binary, of_words binary, of_pairs binary, cells binary"
-    ready = written(whole.drop("n").join(own_counts, "chunk").mapInPandas(join, kinds))
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [np.zeros((0, 4), np.int64)]
-        for batch in batches:
-            held += [np.frombuffer(x, "<i8").reshape(-1, 4) for x in batch["cells"]]
-        yield pd.DataFrame(np.concatenate(held), columns=["bucket", "pair", "word", "n"]).groupby(["bucket", "pair", "word"], as_index=False).sum()
-
-    # Cells are few whatever the input: buckets and quarter logarithms of ratios.
-    cells = ready.select("cells").mapInPandas(add, "bucket long, pair long, word long, n long").groupBy("bucket", "pair", "word").agg(F.sum("n").alias("n")).toPandas()
-    weights = em(cells.sort_values(["bucket", "pair", "word"]))
+    with batches_of(spark, BATCH):
+        whole = written(chunks(docs))
+        tokens = whole.agg(F.sum("n")).first()[0] or 0
+        bits = max(3, math.ceil(math.log2(tokens / PART + 1)))
+        found = written(corpus_counts(whole, bits))
+        settle(spark)
+        v, n, kept_v, kept_n = found.where("chunk = -1 AND kind = 0").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("v", "n", "kept_v", "kept_n")]).first()
+        starts = starts_of(whole)
+        n, kept_n, v, kept_v = n - starts[0], kept_n - starts[1], v - (starts[0] > 0), kept_v - (starts[1] > 0)
+
+        def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for row in batch.itertuples():
+                    row = pd.Series(row._asdict())
+                    row["own"], row["bits"] = own, row["bits"] = Chunk(row), bits
+                    (words, kept_words), (pairs, kept_pairs) = known(row)
+                    at = own.fold == HELD
+                    held = np.concatenate([kept_words[own.before[at]], kept_words[own.tokens[at]], kept_pairs[own.pair_of[at]]])
+                    yield pd.DataFrame([(row["doc_ids"], row["folds"], row["sizes"], len(own.words), row["tokens"], zlib.compress(slim(words), 1), zlib.compress(slim(pairs), 1), zlib.compress(held.astype("<u4").tobytes(), 1))], columns=["doc_ids", "folds", "sizes", "n_words", "tokens", "of_words", "of_pairs", "held"])
+
+        own_counts = found.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("kind", "part", "every", "kept")).alias("found"))
+        kinds = "doc_ids array<long>, folds binary, sizes binary, n_words int, tokens binary, of_words binary, of_pairs binary, held binary"
+        ready = written(whole.drop("n").join(own_counts, "chunk").mapInPandas(join, kinds))
+        discard(whole, found)
+        settle(spark)
+        weights, _ = em(ready, kept_n, kept_v)
 
     def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
                 own = Chunk(row, hashed=False)
                 words, pairs = wide(zlib.decompress(row.of_words), row.n_words), wide(zlib.decompress(row.of_pairs), own.n_pairs)
-                c_w, c_v, c_vw = words[own.tokens], words[own.before], pairs[own.pair_of]
-                mix = weights[buckets(c_v)]
-                mix[c_v == 0, 1] += mix[c_v == 0, 0]
-                mix[c_v == 0, 0] = 0
-                chance = mix[:, 0] * (c_vw / np.maximum(c_v, 1)) + mix[:, 1] * (c_w / max(n, 1)) + mix[:, 2] / (v + 1) if n else np.ones(len(c_w))
+                c_w = words[own.tokens]
+                chance = mixed(weights, words[own.before], c_w, pairs[own.pair_of], n, v).sum(1) if n else np.ones(len(c_w))
                 sums = lambda x: np.add.reduceat(x, own.starts)  # noqa: B023, E731
                 yield pd.DataFrame({"doc_id": pd.Series(list(row.doc_ids), dtype="Int64"), "held_out": own.folds == TEST, "n_tokens": own.sizes, "n_known": sums((c_w > 0).astype(np.int64)), "train_tokens": n, "base_score": sums(np.log10((c_w + 1) / (n + (v + 1)))), "score": sums(np.log10(chance))})
 
-    return ready.drop("cells").mapInPandas(last, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    slim_batches(spark, BATCH)
+    return ready.drop("held").mapInPandas(last, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def starts_of(whole: DataFrame) -> tuple[int, int]:
