@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from textloom.llm import bpe, edit_count, exact_dedup, line_dedup, mixing, pii, quality, simhash, topk
+from textloom.llm import bpe, exact_dedup, line_dedup, mixing, quality, simhash, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, rid int, fp int"
 
@@ -94,43 +94,6 @@ def test_simhash_components(docs):
     assert simhash.keep_one(docs).count() == 4
 
 
-def test_pii_rules_equal_the_patterns():
-    rng = random.Random(4)
-    for _ in range(3000):
-        t = "".join(rng.choice("ab1234567890..@@+-() \n") for _ in range(40))
-        want = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
-        want += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
-        digits = lambda m: re.sub("[^0-9]", "", m.group())
-        want += [(2, *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
-        want += [(3, *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m)) <= 15]
-        assert pii.rules(t) == want
-
-
-def test_pii_field_parts_neighbours_and_leaves_numbers_alone():
-    field = pii.SemiCRF(pii.trained())
-    text = "call +1 (269) 555-3296 4524132264652876 and version 4.0. The"
-    base, every = pii.spans_of(text, field)
-    assert base == [] and [text[a:b] for _, a, b in every] == ["4524132264652876", "+1 (269) 555-3296"]
-
-
-def test_edits_equal_a_recount():
-    from tokenizers import Tokenizer
-
-    path = bpe.vocabulary_path()
-    tok, own, rng = Tokenizer.from_file(path), bpe.PairIndexBPE(path), random.Random(5)
-    tok.encode_special_tokens = True
-    make = lambda n: "".join(rng.choice(["a", "b", " ", "  ", "\n", "'", "re", "1", ".", "word"]) for _ in range(n))
-    for _ in range(100):
-        text = make(rng.choice([0, 3, 300]))
-        tree = edit_count.CountTree(text, own)
-        for _ in range(4):
-            a = rng.randint(0, len(text))
-            b, new = min(len(text), a + rng.choice([0, 1, 50])), make(rng.choice([0, 1, 20]))
-            text = text[:a] + new + text[b:]
-            tree.replace(a, b, new)
-            assert tree.text() == text and tree.total() == len(tok.encode(text, add_special_tokens=False).ids)
-
-
 def test_line_dedup(spark, tmp_path):
     p, q = "this passage repeats over documents again", "a second line that also comes back"
     docs = frame(spark, tmp_path, [(1, f"{p}\n{q}\nfirst own line of some words", "a"), (2, f"another line of its own here\n{p}\n{q}", "a"), (3, None, "b"), (4, "short", "a"), (5, "short", "a")])

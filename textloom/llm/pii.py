@@ -99,6 +99,8 @@ def rules(text: str) -> list[tuple[int, int, int]]:
 # The field
 
 _token = re.compile(r"[^\s]+")
+#: Marks that no entity holds, so that key:value pairs, compact JSON and lists part into tokens; not within [at] and [dot].
+GLUE, _bracketed = frozenset(":,;=\"|{}<>"), re.compile(r"\[(?:at|dot)\]", re.I)
 _trigger = re.compile(r"[0-9@]|[\[(](?:at|dot)[\])]|\bat\s+\S+\s+dot\b", re.I)
 _cues = {"mail": 0, "e-mail": 0, "email": 0, "contact": 0, "ip": 1, "host": 1, "address": 1, "server": 1, "card": 2, "visa": 2, "mastercard": 2, "credit": 2, "phone": 3, "tel": 3, "call": 3, "mobile": 3, "fax": 3, "telephone": 3}
 _spelled = re.compile(r"[a-z0-9._%+-]+\s*(?:@|[\[(]at[\])]|\sat\s)\s*[a-z0-9-]+(?:\s*(?:\.|[\[(]dot[\])]|\sdot\s)\s*[a-z0-9-]+)+", re.I)
@@ -106,15 +108,18 @@ _phone_shape = re.compile(r"(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4}
 
 
 def tokens(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """Spans of tokens without brackets and marks around them that belong to no number or address."""
+    """Spans of tokens: parted by white space and by marks that belong to no number or address, without marks around them."""
     out = []
     for m in _token.finditer(text, start, end):
-        a, b = m.span()
-        while b > a and text[b - 1] in ".,;:!?\"'>]}":
-            b -= 1
-        while a < b and text[a] in "\"'<[{":
-            a += 1
-        out.append((a, b) if a < b else m.span())
+        at, stop = m.span()
+        cuts = [k for k in range(at, stop) if text[k] in GLUE] if not _bracketed.search(text, at, stop) else []
+        for a, b in zip([at, *(k + 1 for k in cuts)], [*cuts, stop], strict=True):
+            while b > a and text[b - 1] in ".!?\"'>]}":
+                b -= 1
+            while a < b and text[a] in "\"'<[{":
+                a += 1
+            if a < b:
+                out.append((a, b))
     return out
 
 
@@ -178,8 +183,10 @@ def _make(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
             if rng.random() < 0.2:
                 text += rng.choice([c for c, k in _cues.items() if k == kind]) + rng.choice([" ", ": "])
             made = (email, quad, card, phone)[kind]()
+            if rng.random() < 0.25:
+                text += rng.choice(['{"' + word() + '":"', word() + ":", word() + "=", num(2) + ",", word() + ";"])
             spans.append((kind, len(text), len(text) + len(made)))
-            text += made + rng.choice(["", "", ".", ","])
+            text += made + rng.choice(["", "", ".", ",", '",', ";" + word()])
     return text + " " + word(), spans
 
 
@@ -288,8 +295,9 @@ def spans_of(text: str, field: SemiCRF) -> tuple[list[tuple[int, int, int]], lis
             windows[-1][1] = max(windows[-1][1], at + 48)
         else:
             windows.append([at, at + 48])
-    for k, (at, end) in enumerate(windows):
-        start, stop = max(windows[k - 1][1] if k else 0, at - 40), min(len(text), end)
+    # Windows may overlap, so that an entity at a seam is whole in one of them; what the earlier one found stays.
+    for at, end in windows:
+        start, stop = max(0, at - 40), min(len(text), end)
         while start > 0 and not text[start - 1].isspace() and at - start < 80:
             start -= 1
         while stop < len(text) and not text[stop].isspace() and stop - end < 80:
@@ -297,7 +305,7 @@ def spans_of(text: str, field: SemiCRF) -> tuple[list[tuple[int, int, int]], lis
         own = tokens(text, start, stop)
         for kind, i, j in field.best(text, own):
             a, b = own[i][0], own[j - 1][1]
-            if _sound(kind, text[a:b]) and not any(x < b and a < y for x, y in taken):
+            if _sound(kind, text[a:b]) and not any(x < b and a < y for x, y in taken) and not any(x < b and a < y for _, x, y in added[-8:]):
                 added.append((kind, a, b))
     return base, sorted(base + added)
 
