@@ -17,6 +17,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 from itertools import count, islice
 
 import numpy as np
@@ -100,7 +101,8 @@ class PairIndexBPE:
         nxt[ends] = -1
         prv[ends - sizes + 1] = -1
         alive = np.ones(n, bool)
-        lists: list[list[np.ndarray] | None] = [None] * len(self.made)
+        lists: dict[int, list[np.ndarray]] = {}
+        active: list[int] = []  # ranks that have places, as a heap
 
         def index(at: np.ndarray) -> None:
             found = self.ranks(sym[at], sym[nxt[at]])
@@ -110,16 +112,16 @@ class PairIndexBPE:
                 at, found = at[order], found[order]
                 cuts = np.flatnonzero(found[1:] != found[:-1]) + 1
                 for rank, where in zip(found[np.r_[0, cuts]].tolist(), np.split(at, cuts), strict=True):
-                    if lists[rank] is None:
-                        lists[rank] = [where]
-                    else:
+                    if rank in lists:
                         lists[rank].append(where)
+                    else:
+                        lists[rank] = [where]
+                        heappush(active, rank)
 
         index(np.flatnonzero(nxt >= 0))
-        for rank in range(len(lists)):  # lists fill at higher ranks only
-            if (own := lists[rank]) is None:
-                continue
-            lists[rank] = None
+        while active:  # lists fill at higher ranks only
+            rank = heappop(active)
+            own = lists.pop(rank)
             a, b, new = self.left[rank], self.right[rank], self.made[rank]
             at = distinct(np.concatenate(own)) if len(own) > 1 else own[0]
             at = at[alive[at] & (sym[at] == a)]

@@ -75,8 +75,8 @@ class CountTree:
                 x[level // 2 : level] = x[level : 2 * level].reshape(-1, 2).sum(1)
             level //= 2
 
-    def _at(self, leaf: int) -> tuple[list[str], list[int]]:
-        """The leaf, split and encoded when it is first touched. It starts at a pre-token of the source, and so splits alike."""
+    def _split_leaf(self, leaf: int) -> list[str]:
+        """The leaf's pre-tokens, split when it is first touched. It starts at a pre-token of the source, and so splits alike."""
         if self.leaves[leaf] is None:
             words, end = [], int(self.first[leaf] + self.sizes[leaf])
             for m in _split.finditer(self.source, int(self.first[leaf])):
@@ -84,9 +84,22 @@ class CountTree:
                     break
                 words.append(m.group())
             self.encoded += len(words)
+            self.leaves[leaf] = (words, None)
+        return self.leaves[leaf][0]
+
+    def _at(self, leaf: int) -> tuple[list[str], list[int]]:
+        words = self._split_leaf(leaf)
+        if self.leaves[leaf][1] is None:
             self.leaves[leaf] = (words, count_words(self.bpe, words))
         return self.leaves[leaf]
 
+    def near(self, edits: list[tuple[int, int, str]]) -> Iterator[str]:
+        """Pre-tokens of the leaves of a restored tree that edits of its source touch, so that many trees' are encoded at once."""
+        for start, end, _ in edits:
+            low, high = np.searchsorted(self.first, [max(0, start - 1), end], "right") - 1
+            for k in range(max(0, int(low) - 1), min(len(self.leaves), int(high) + 2)):
+                yield from self._split_leaf(k)
+
     def _set(self, leaf: int, words: list[str], counts: list[int]) -> None:
         self.leaves[leaf] = (words, counts)
         k = self.base + leaf
@@ -242,10 +255,12 @@ def recount(docs: DataFrame, leaves: DataFrame, edits: DataFrame, vocabulary: st
         bpe = loaded(vocabulary)
         for batch in batches:
             rows = []
-            for text, chars, tokens, own in zip(batch["text"], batch["chars"], batch["tokens"], batch["edits"], strict=True):
-                tree = CountTree.restored(text, np.asarray(chars, np.int64), np.asarray(tokens, np.int64), bpe)
+            trees = [CountTree.restored(t, np.asarray(c, np.int64), np.asarray(n, np.int64), bpe) for t, c, n in zip(batch["text"], batch["chars"], batch["tokens"], strict=True)]
+            edits = [[(e["start"], e["end"], e["new"]) for e in own] for own in batch["edits"]]
+            count_words(bpe, list({w for tree, own in zip(trees, edits, strict=True) for w in tree.near(own)}))
+            for tree, own in zip(trees, edits, strict=True):
                 for edit in own:  # last first, so that places before stay what they are
-                    tree.replace(edit["start"], edit["end"], edit["new"])
+                    tree.replace(*edit)
                 rows.append((len(own), tree.total(), tree.encoded, *tree.sums()))
             out = pd.DataFrame(rows, columns=["n_edits", "now", "n_reencoded", "chars", "tokens"], index=batch.index)
             yield pd.concat([batch.drop(columns=["edits", "chars", "tokens", "text"]), out], axis=1)
