@@ -8,6 +8,7 @@ import ctypes
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -74,9 +75,11 @@ def discard(*tables: DataFrame) -> None:
 
 def settle(spark: SparkSession) -> None:
     """Has Spark delete the shuffle files of steps that nothing refers to any more; it learns of them when the driver's JVM
-    collects its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    collects its garbage, first of the plans, then of what only they referred to."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def clear(spark: SparkSession) -> None:
