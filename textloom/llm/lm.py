@@ -135,8 +135,9 @@ class Chunk:
 
 
 def corpus_counts(table_of_chunks: DataFrame, parts_bits: int) -> DataFrame:
-    """kind (0 words, 1 pairs), part, chunk, all and kept: counts over the corpus of the chunk's own sorted hashes in the
-    part's range, over the training documents and without those held out; chunk -1: how many of them there are."""
+    """kind (0 words, 1 pairs), part, chunk, every and less: counts over the corpus of the chunk's own sorted hashes in the
+    part's range, over the training documents and over those of them that are held out, mostly 0; chunk -1: totals over
+    all training documents and without those held out."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shift = np.uint64(64 - parts_bits)
@@ -147,21 +148,21 @@ def corpus_counts(table_of_chunks: DataFrame, parts_bits: int) -> DataFrame:
                 for kind, (hashes, order, a, b) in enumerate(zip((own.words, own.pairs), (own.order, own.pair_order), own.counts(train), own.counts(kept), strict=True)):
                     keys, a, b = hashes[order], a[order], b[order]
                     cuts = np.searchsorted(keys >> shift, np.arange((1 << parts_bits) + 1, dtype=np.uint64))
-                    rows += [(kind, p, row.chunk, packed(keys[x:y]), slim(a[x:y]), slim(b[x:y]), int(y - x)) for p, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
-                yield pd.DataFrame(rows, columns=["kind", "part", "chunk", "keys", "every", "kept", "n"])
+                    rows += [(kind, p, row.chunk, packed(keys[x:y]), slim(a[x:y]), slim((a - b)[x:y]), int(y - x)) for p, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+                yield pd.DataFrame(rows, columns=["kind", "part", "chunk", "keys", "every", "less", "n"])
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         keys = [unpacked(x) for x in group["keys"]]
         sizes = np.array([len(k) for k in keys])
         _, at = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = [np.bincount(at, weights=np.concatenate([wide(x, n) for x, n in zip(group[c], sizes, strict=True)])).astype(np.int64) for c in ("every", "kept")]
+        sums = [np.bincount(at, weights=np.concatenate([wide(x, n) for x, n in zip(group[c], sizes, strict=True)])).astype(np.int64) for c in ("every", "less")]
         kind, part = int(group["kind"].iloc[0]), int(group["part"].iloc[0])
         back = [(kind, part, int(c), slim(sums[0][own]), slim(sums[1][own]), 0, 0, 0, 0) for c, own in zip(group["chunk"], np.split(at, np.cumsum(sizes)[:-1]), strict=True)]
-        total = (kind, part, -1, b"", b"", *(int(f(s)) for s in sums for f in (lambda s: (s > 0).sum(), np.sum)))
-        return pd.DataFrame([*back, total], columns=["kind", "part", "chunk", "every", "kept", "v", "n", "kept_v", "kept_n"])
+        total = (kind, part, -1, b"", b"", *(int(f(s)) for s in (sums[0], sums[0] - sums[1]) for f in (lambda s: (s > 0).sum(), np.sum)))
+        return pd.DataFrame([*back, total], columns=["kind", "part", "chunk", "every", "less", "v", "n", "kept_v", "kept_n"])
 
-    sent = table_of_chunks.mapInPandas(send, "kind int, part int, chunk long, keys binary, every binary, kept binary, n long")
-    return sent.groupBy("kind", "part").applyInPandas(merge, "kind int, part int, chunk long, every binary, kept binary, v long, n long, kept_v long, kept_n long")
+    sent = table_of_chunks.mapInPandas(send, "kind int, part int, chunk long, keys binary, every binary, less binary, n long")
+    return sent.groupBy("kind", "part").applyInPandas(merge, "kind int, part int, chunk long, every binary, less binary, v long, n long, kept_v long, kept_n long")
 
 
 def buckets(contexts: np.ndarray) -> np.ndarray:
@@ -177,11 +178,11 @@ def known(row) -> list[tuple[np.ndarray, np.ndarray]]:
         shift, keys = np.uint64(64 - row.bits), (own.words if kind == 0 else own.pairs)[order]
         sizes = np.bincount((keys >> shift).astype(np.int64), minlength=1 << row.bits)
         both = []
-        for c in ("every", "kept"):
+        for c in ("every", "less"):
             values = np.zeros(len(order), np.int64)
             values[order] = np.concatenate([wide(x[c], int(sizes[x["part"]])) for x in parts])
             both.append(values)
-        out.append(tuple(both))
+        out.append((both[0], both[0] - both[1]))
     return out
 
 
@@ -264,7 +265,7 @@ def score(docs: DataFrame) -> DataFrame:
                     held = np.concatenate([kept_words[own.before[at]], kept_words[own.tokens[at]], kept_pairs[own.pair_of[at]]])
                     yield pd.DataFrame([(row["doc_ids"], row["folds"], row["sizes"], len(own.words), row["tokens"], zlib.compress(slim(words), 1), zlib.compress(slim(pairs), 1), zlib.compress(held.astype("<u4").tobytes(), 1))], columns=["doc_ids", "folds", "sizes", "n_words", "tokens", "of_words", "of_pairs", "held"])
 
-        own_counts = found.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("kind", "part", "every", "kept")).alias("found"))
+        own_counts = found.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("kind", "part", "every", "less")).alias("found"))
         kinds = "doc_ids array<long>, folds binary, sizes binary, n_words int, tokens binary, of_words binary, of_pairs binary, held binary"
         ready = written(whole.drop("n").join(own_counts, "chunk").mapInPandas(join, kinds))
         discard(whole, found)
