@@ -155,12 +155,12 @@ def kept(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def batches_of(spark: SparkSession, size: str) -> Iterator[None]:
     """Has workers get rows in batches of so many bytes, for what is written inside; the session's setting comes back."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
+    before = spark.conf.get(key, None)
     spark.conf.set(key, size)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def slim_batches(spark: SparkSession, size: str = "6m") -> None:

@@ -17,7 +17,7 @@ pairs of segments, and takes WIDE_DISTANCE differing bits as a candidate. Candid
 which texts are connected; the shingle sets of all texts of a component are then compared exactly, whatever candidates were
 thinned out. Components above GROUP bytes are cut into blocks, and each pair of blocks is compared in its own task. Links
 are thinned after the comparison: no link below the similarity stands, and none between connected texts is lost. Buckets
-connect most texts at the similarity, not all. Equal pairs of fingerprints count as equal sets.
+connect most texts at the similarity, not all: of 8999 links among 51282 texts (check_s) all but 6. Equal pairs of fingerprints count as equal sets.
 
 Defined cases: a null text is the empty text; texts without a word have fingerprint zero and link like any other;
 texts of fewer words than a shingle are one shingle; rows that repeat share a fingerprint; null ids are carried along
