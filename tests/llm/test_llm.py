@@ -115,6 +115,14 @@ def test_topk(spark):
         assert sorted(got[q]) == [(n, k, -s) for n, (s, k) in enumerate(best, 1)]
 
 
+@pytest.mark.parametrize("large", [1e30, 1e9])
+def test_topk_refuses_scores_beyond_64_bits(spark, large):
+    rows = [(0, [large, 1.0]), (1, [2.0, 1.0]), (20, [large, large])]
+    with pytest.raises(Exception, match="too large|64 bits"):
+        topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
 def test_trees_learn():
     rng = np.random.default_rng(7)
     x = rng.random((600, 3))

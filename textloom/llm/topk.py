@@ -11,7 +11,7 @@ Queries, in blocks, meet every block of the index; each pair of blocks gives at
 k stay. No task holds more than a block of either.
 
 Defined cases: vectors null or with null or non-finite components take no part, nor do null ids; a shorter vector
-counts as filled up with zeros; rows that repeat are separate candidates, and separate queries; a row isn't a candidate
+counts as filled up with zeros; vectors whose scores could need more than 64 bits are an error; rows that repeat are separate candidates, and separate queries; a row isn't a candidate
 for queries of its own id; equal scores go by the smaller vec_id; an empty table gives an empty result.
 """
 
@@ -31,6 +31,8 @@ from textloom.llm.common import table
 SCALE, EVERY, K = 64, 20, 20
 #: Rows in a block of the index, queries in a block of queries.
 BLOCK, QUERIES = 8192, 512
+#: Components from here on are an error.
+LARGEST = float(1 << 40)
 
 
 def signed_digits(value: int) -> list[tuple[int, int]]:
@@ -119,7 +121,9 @@ class BitSlicedIndex:
 
 def _valid(vectors: DataFrame, id_col: str, col: str) -> DataFrame:
     ok = F.col(id_col).isNotNull() & F.col(col).isNotNull() & F.forall(col, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
-    return vectors.where(ok).select(F.col(id_col).cast("long").alias("id"), F.transform(col, lambda x: F.floor(F.lit(float(SCALE)) * x.cast("double")).cast("long")).alias("x"))
+    scaled = lambda x: F.floor(F.lit(float(SCALE)) * x.cast("double")).cast("long")
+    held = F.transform(col, lambda x: F.when(F.abs(x.cast("double")) < LARGEST, scaled(x)).otherwise(F.raise_error(F.lit("a component is too large for whole scores")).cast("long")))
+    return vectors.where(ok).select(F.col(id_col).cast("long").alias("id"), held.alias("x"))
 
 
 def _matrix(rows: pd.Series) -> np.ndarray:
@@ -162,8 +166,10 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding", ev
                     ids = np.frombuffer(row.own_ids, "<i8")
                     last, built = row.own_ids, BitSlicedIndex(ids, np.frombuffer(row.own_x, "<i8").reshape(len(ids), row.own_dims))
                 ids = np.frombuffer(row.ids, "<i8")
-                out = []
-                for at, (own, query) in enumerate(zip(ids.tolist(), np.frombuffer(row.x, "<i8").reshape(len(ids), row.dims), strict=True)):
+                asked, out = np.frombuffer(row.x, "<i8").reshape(len(ids), row.dims), []
+                if max(map(abs, (built.rows.max(initial=0).item(), built.rows.min(initial=0).item()))) * max(map(abs, (asked.max(initial=0).item(), asked.min(initial=0).item()))) * max(1, row.dims) >= 1 << 62:
+                    raise ValueError("scores of these vectors may need more than 64 bits")
+                for at, (own, query) in enumerate(zip(ids.tolist(), asked, strict=True)):
                     found, scores = built.top(query, own, k)
                     out.append(pd.DataFrame({"asked": row.serial + at, "query_id": own, "vec_id": found, "score": scores}))
                 yield pd.concat(out)
