@@ -102,3 +102,16 @@ def test_without_documents_or_training(spark):
     test = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == lm.TEST)
     (row,) = lm.score(spark.createDataFrame([(test, "never seen", "x", 0, 0)], SCHEMA)).collect()
     assert row.held_out and row.n_known == 0 and row.train_tokens == 0 and row.score == 0
+
+
+def test_hashes_and_counts_come_back_from_their_bytes():
+    """None, one, neighbours, the largest values, and widths from one byte to eight."""
+    rng = np.random.default_rng(5)
+    top = np.uint64(2**64 - 1)
+    for n in (0, 1, 2, 3, 300, 50_000):
+        for bits in (3, 8, 20, 47, 64):
+            values = np.unique(rng.integers(0, top, n, dtype=np.uint64, endpoint=True) >> np.uint64(64 - bits))
+            assert (lm.unpacked(lm.packed(values)) == values).all()
+    assert (lm.unpacked(lm.packed(np.array([0, top], np.uint64))) == [0, top]).all()
+    for values in ([], [0], [1, 0, 255], [256, 0], [70_000, 1], [2**33, 7]):
+        assert lm.wide(lm.slim(np.array(values, np.int64)), len(values)).tolist() == values

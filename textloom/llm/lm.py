@@ -45,31 +45,46 @@ ROUNDS, GAIN = 20, 1e-5
 BUCKETS, START_WEIGHTS = 64, (0.5, 0.4, 0.1)
 
 
+def planed(values: np.ndarray, width: int) -> bytes:
+    """The low bytes of unsigned values, all lowest ones first, so that bytes of like distribution lie together."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
 def packed(values: np.ndarray) -> bytes:
-    """Ascending uint64 values as differences of the fewest bytes."""
-    steps = np.diff(values, prepend=np.uint64(0))
-    width = max(1, (int(steps[1:].max() if len(steps) > 1 else 0).bit_length() + 7) // 8)
-    head = int(steps[0]).to_bytes(8, "little") if len(steps) else b""
-    return bytes([width]) + head + steps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    """Ascending uint64 values: their number, the first, and differences of the fewest bytes. Differences of hashes have
+    even low bytes, which are kept as they are; the two highest are uneven and get Huffman codes."""
+    n = len(values)
+    if not n:
+        return n.to_bytes(4, "little")
+    steps = np.diff(values)
+    width = max(2, (int(steps.max() if n > 1 else 0).bit_length() + 7) // 8)
+    planes, coder = planed(steps, width), zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    low = (width - 2) * (n - 1)
+    return b"".join([n.to_bytes(4, "little"), bytes([width]), int(values[0]).to_bytes(8, "little"), planes[:low], coder.compress(planes[low:]), coder.flush()])
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    if len(data) < 9:
-        return np.zeros(0, np.uint64)
-    rest = np.frombuffer(data, np.uint8, offset=9).reshape(-1, data[0])
-    steps = np.zeros((len(rest) + 1, 8), np.uint8)
-    steps[0] = np.frombuffer(data, np.uint8, 8, 1)
-    steps[1:, : data[0]] = rest
+    n = int.from_bytes(data[:4], "little")
+    steps = np.zeros((n, 8), np.uint8)
+    if n:
+        width, low = data[4], 13 + (data[4] - 2) * (n - 1)
+        planes = data[13:low] + zlib.decompress(data[low:], -15)
+        steps[0] = np.frombuffer(data, np.uint8, 8, 5)
+        steps[1:, :width] = np.frombuffer(planes, np.uint8).reshape(width, n - 1).T
     return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64)
 
 
 def slim(values: np.ndarray) -> bytes:
-    top = int(values.max()) if len(values) else 0
-    return values.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8").tobytes()
+    """Counts in the fewest whole bytes, deflated; most are 0 or 1."""
+    return zlib.compress(planed(values, max(1, (int(values.max() if len(values) else 0).bit_length() + 7) // 8)), 1)
 
 
 def wide(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, f"<u{len(data) // n}" if n else "<u1").astype(np.int64)
+    planes = np.frombuffer(zlib.decompress(data), np.uint8)
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, : len(planes) // n] = planes.reshape(-1, n).T
+    return out.reshape(-1).view("<i8")
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -263,7 +278,7 @@ def score(docs: DataFrame) -> DataFrame:
                     (words, kept_words), (pairs, kept_pairs) = known(row)
                     at = own.fold == HELD
                     held = np.concatenate([kept_words[own.before[at]], kept_words[own.tokens[at]], kept_pairs[own.pair_of[at]]])
-                    yield pd.DataFrame([(row["doc_ids"], row["folds"], row["sizes"], len(own.words), row["tokens"], zlib.compress(slim(words), 1), zlib.compress(slim(pairs), 1), zlib.compress(held.astype("<u4").tobytes(), 1))], columns=["doc_ids", "folds", "sizes", "n_words", "tokens", "of_words", "of_pairs", "held"])
+                    yield pd.DataFrame([(row["doc_ids"], row["folds"], row["sizes"], len(own.words), row["tokens"], slim(words), slim(pairs), zlib.compress(held.astype("<u4").tobytes(), 1))], columns=["doc_ids", "folds", "sizes", "n_words", "tokens", "of_words", "of_pairs", "held"])
 
         own_counts = found.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("kind", "part", "every", "less")).alias("found"))
         kinds = "doc_ids array<long>, folds binary, sizes binary, n_words int, tokens binary, of_words binary, of_pairs binary, held binary"
@@ -276,7 +291,7 @@ def score(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.itertuples():
                 own = Chunk(row, hashed=False)
-                words, pairs = wide(zlib.decompress(row.of_words), row.n_words), wide(zlib.decompress(row.of_pairs), own.n_pairs)
+                words, pairs = wide(row.of_words, row.n_words), wide(row.of_pairs, own.n_pairs)
                 c_w = words[own.tokens]
                 chance = mixed(weights, words[own.before], c_w, pairs[own.pair_of], n, v).sum(1) if n else np.ones(len(c_w))
                 sums = lambda x: np.add.reduceat(x, own.starts)  # noqa: B023, E731
