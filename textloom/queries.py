@@ -18,6 +18,7 @@ from textloom.plans import clean as plan
 from textloom.plans import run as chain
 from textloom.sources import corpus as R
 from textloom.streaming import batches as B
+from textloom.streaming import training as T
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -481,6 +482,15 @@ def _stream(spark, d, **options):
     return B.BatchStream(R.written(rows), **options)
 
 
+@query()
+def training_losses(spark, d):
+    """Rows only: losses of sixteen batches of the bigram scorer; tests hold them against a loop."""
+    packed = P.pack(_word_docs(spark, d), keys=("lane",))
+    rows = packed.select("lane", F.xxhash64("lane", "seq").alias("seq"), "tokens", "loss_mask", F.expr("aggregate(loss_mask, 0L, (s, x) -> s + x)").alias("n_loss"))
+    # Tokens are lengths of words, 60000 at most.
+    return T.train_range(B.BatchStream(R.written(rows)), T.empty(spark), 0, 16, 60001)[0]
+
+
 @query(PACK + ", q AS (SELECT lane, count(DISTINCT bin) AS n FROM s GROUP BY lane) SELECT lane, n, n::DOUBLE / (SELECT sum(n) FROM q)::DOUBLE AS p FROM q")
 def lane_probs(spark, d):
     return B.lane_probabilities(P.pack(_word_docs(spark, d), keys=("lane",)))
