@@ -19,6 +19,7 @@ from textloom.operators import packing as P
 from textloom.operators import planning as G
 from textloom.operators import surprisal as S
 from textloom.plans import clean as plan
+from textloom.plans import evidence as E
 from textloom.plans import run as chain
 from textloom.sources import corpus as R
 from textloom.streaming import batches as B
@@ -255,3 +256,7 @@ def test_the_whole_chain(spark, tmp_path):
     assert got["ledger", "batches"] == got["ledger", "distinct"] == got["replay", "matched"] == 4
     assert {m: v for (s, m), v in got.items() if s == "audit"} == {"leaked documents": 0, "events not emitted": 0, "batches not consumed": 0}
     assert got["select", "accept"] > 0 and 0 < got["pack", "token_yield"] <= 1
+    assert got["train", "batches"] == 4 and got["train", "loss_positions"] == got["ledger", "loss_positions"] and got["train", "last_loss"] < got["train", "first_loss"]
+    assert {m: v for (s, m), v in got.items() if s == "evidence"} == dict.fromkeys(E.REQUIREMENTS, 1)
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/log").collect()]
+    assert lines[0].startswith("[INFO] tokenizer trained vocabulary=320") and lines[1:] == [f"[PASS] {x}" for x in E.EVENTS]

@@ -1,4 +1,4 @@
-"""The whole chain: evaluation split, cleaning, tokenizer, shards, firewall, mixture, selection, packing, batches, audit."""
+"""The whole chain: evaluation split, cleaning, tokenizer, shards, firewall, mixture, selection, packing, batches, training, audit, evidence."""
 
 from __future__ import annotations
 
@@ -13,10 +13,10 @@ from textloom.operators import planning as G
 from textloom.operators import surprisal as S
 from textloom.operators import tokens as K
 from textloom.plans import clean as plan
+from textloom.plans import evidence as E
 from textloom.sources.tables import written
 from textloom.streaming import batches as B
-
-EXPECTED = ("eval_shard_blocked", "shards_verified", "resume_next_batch_matched", "replay_hash_matched")
+from textloom.streaming import training as T
 
 
 def shard_candidates(shards: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def shard_candidates(shards: DataFrame) -> DataFrame:
 
 def run(docs: DataFrame, held: DataFrame, pairs: DataFrame, path: str, vocab_size: int = 400, steps: int = 8, seq_len: int = P.SEQ_LEN, cap: int = P.SHARD_TOKENS) -> DataFrame:
     """stage, measure, value of every stage, in rows. docs: corpus records; held: more texts that training may not hold;
-    path: where split, shards and ledger go."""
+    path: where split, shards, ledgers, checkpoints and the log go."""
     spark, facts = docs.sparkSession, []
 
     def note(stage: str, df: DataFrame) -> None:
@@ -46,6 +46,7 @@ def run(docs: DataFrame, held: DataFrame, pairs: DataFrame, path: str, vocab_siz
     note("clean", plan.report(routed.where("split = 'train'"), drops, masked).where("stage = 'decontam'").select("kept"))
     vocab, merges = K.train(left, vocab_size)
     note("tokenizer", spark.createDataFrame([(len(vocab), len(K.integrity(vocab, merges)))], "vocabulary int, problems int"))
+    frozen = K.tokenizer_hash(vocab, merges)
     both = left.unionByName(evaluation.withColumn("text", X.normalize(F.col("text"))))
     tokens = K.encode(both, vocab, merges)
     P.write_shards(P.shards(both.join(tokens, "id"), vocab["<bos>"], vocab["<eos>"], cap), f"{path}/shards")
@@ -66,17 +67,29 @@ def run(docs: DataFrame, held: DataFrame, pairs: DataFrame, path: str, vocab_siz
     offered = P.iter_docs(accepted, "train")
     packed = written(P.pack(offered, seq_len))
     note("pack", P.packing_report(offered, packed, seq_len))
-    stream = B.BatchStream(packed.select("seq", "lane", "tokens", F.expr("aggregate(loss_mask, 0L, (s, x) -> s + x)").alias("n_loss")))
+    stream = B.BatchStream(packed.select("seq", "lane", "tokens", "loss_mask", F.expr("aggregate(loss_mask, 0L, (s, x) -> s + x)").alias("n_loss")))
     first = B.consume(stream, f"{path}/ledger", steps // 2)
     rest = B.consume(stream, f"{path}/ledger", steps)
     ledger = spark.read.parquet(f"{path}/ledger")
     note("ledger", ledger.agg(F.count("*").alias("batches"), F.countDistinct("batch_index").alias("distinct"), F.sum("n_loss").alias("loss_positions")))
     replayed = B.replay(stream, ledger, 0, steps)
     note("replay", replayed.agg(F.sum(F.when(F.col("matched"), 1).otherwise(0)).alias("matched")))
-    passed = [blocked.where("ok").select(F.lit(EXPECTED[0]).alias("event")), P.verify_shards(shards, index).agg(F.bool_and("ok").alias("ok")).where("ok").select(F.lit(EXPECTED[1]).alias("event"))]
-    passed += [rest.join(first, "batch_index", "left_anti").limit(1).select(F.lit(EXPECTED[2]).alias("event")), replayed.agg(F.bool_and("matched").alias("ok")).where("ok").select(F.lit(EXPECTED[3]).alias("event"))]
-    emitted = reduce(DataFrame.unionByName, passed)
-    expected = spark.createDataFrame([(x,) for x in EXPECTED], "event string")
+    learning = T.train(stream, path, steps, len(vocab), every=max(1, steps // 2))
+    note("train", learning.agg(F.count("*").alias("batches"), F.sum("n_loss").alias("loss_positions"), F.min_by("loss_nats", "batch_index").alias("first_loss"), F.max_by("loss_nats", "batch_index").alias("last_loss")))
+    measured = T.throughput(stream, max(1, steps // 2), len(vocab))
+    verified = P.verify_shards(shards, index).agg(F.bool_and("ok").alias("ok")).where("ok")
+    # In the order of EVENTS.
+    passed = [blocked.where("ok"), verified, rest.join(first, "batch_index", "left_anti").limit(1), replayed.agg(F.bool_and("matched").alias("ok")).where("ok"), measured.where("loss_tokens_per_sec > 0")]
+    emitted = written(reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("ord"), F.lit(event).alias("event")) for k, (df, event) in enumerate(zip(passed, E.EVENTS, strict=True))]))
+    expected = spark.createDataFrame([(x,) for x in E.EVENTS], "event string")
+    log = E.RunLog()
+    log.info("tokenizer trained", vocabulary=len(vocab), merges=len(merges))
+    for r in emitted.orderBy("ord").collect():
+        log.passed(r.event)
+    log.write(spark, f"{path}/log")
     checks = S.audit({"leaked documents": offered.join(eval_ids, "id", "left_semi"), "events not emitted": S.unmatched(expected, emitted, "event"), "batches not consumed": S.unmatched(stream.batches(0, steps).select("batch_id"), ledger, "batch_id")})
     facts.append(checks.select(F.lit("audit").alias("stage"), F.col("check").alias("measure"), F.col("violations").cast("double").alias("value")))
+    found = E.audit_checks(shards, index, train, (vocab, merges, frozen), ledger, learning, f"{path}/checkpoints", emitted)
+    results = E.requirements(written(found), emitted, P.packing_report(offered, packed, seq_len), G.mixture_report(mix), decisions, learning, measured)
+    facts.append(results.select(F.lit("evidence").alias("stage"), F.col("requirement").alias("measure"), (F.col("result") == "PASS").cast("double").alias("value")))
     return reduce(DataFrame.unionByName, facts)
