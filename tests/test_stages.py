@@ -258,5 +258,7 @@ def test_the_whole_chain(spark, tmp_path):
     assert got["select", "accept"] > 0 and 0 < got["pack", "token_yield"] <= 1
     assert got["train", "batches"] == 4 and got["train", "loss_positions"] == got["ledger", "loss_positions"] and got["train", "last_loss"] < got["train", "first_loss"]
     assert {m: v for (s, m), v in got.items() if s == "evidence"} == dict.fromkeys(E.REQUIREMENTS, 1)
+    row = spark.read.parquet(f"{tmp_path}/performance").first()
+    assert row.real_tokens == got["pack", "real_tokens"] and row.steps == 2 and row.loss_tokens_per_sec > 0
     lines = [r.value for r in spark.read.text(f"{tmp_path}/log").collect()]
     assert lines[0].startswith("[INFO] tokenizer trained vocabulary=320") and lines[1:] == [f"[PASS] {x}" for x in E.EVENTS]

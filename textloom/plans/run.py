@@ -89,7 +89,9 @@ def run(docs: DataFrame, held: DataFrame, pairs: DataFrame, path: str, vocab_siz
     log.write(spark, f"{path}/log")
     checks = S.audit({"leaked documents": offered.join(eval_ids, "id", "left_semi"), "events not emitted": S.unmatched(expected, emitted, "event"), "batches not consumed": S.unmatched(stream.batches(0, steps).select("batch_id"), ledger, "batch_id")})
     facts.append(checks.select(F.lit("audit").alias("stage"), F.col("check").alias("measure"), F.col("violations").cast("double").alias("value")))
+    # Seconds differ from run to run, so they have a table of their own.
+    E.performance(P.packing_report(offered, packed, seq_len), measured).write.mode("overwrite").parquet(f"{path}/performance")
     found = E.audit_checks(shards, index, train, (vocab, merges, frozen), ledger, learning, f"{path}/checkpoints", emitted)
-    results = E.requirements(written(found), emitted, P.packing_report(offered, packed, seq_len), G.mixture_report(mix), decisions, learning, measured)
+    results = E.requirements(written(found), emitted, P.packing_report(offered, packed, seq_len), G.mixture_report(mix), decisions, learning, spark.read.parquet(f"{path}/performance"))
     facts.append(results.select(F.lit("evidence").alias("stage"), F.col("requirement").alias("measure"), (F.col("result") == "PASS").cast("double").alias("value")))
     return reduce(DataFrame.unionByName, facts)
