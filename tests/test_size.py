@@ -1,5 +1,6 @@
 """Steps whose cost must follow the input: what they no longer build, and that results stay."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from textloom import queries as Q
@@ -16,3 +17,12 @@ def test_attended_places_equal_the_mask(spark, monkeypatch):
     assert [r.got for r in got] == [r.want for r in got]
     monkeypatch.setattr(P, "attention_mask", lambda *_: 1 / 0)
     assert Q.packed_masks(spark, HERE).where("attended > 0").count()
+
+
+def test_numbers_of_five_digits_are_written_as_the_sql_writes_them(spark, monkeypatch):
+    bins = [7, 1234, 9999, 12340, 12341, 123456]
+    own = spark.createDataFrame([(f"train-web-{b:04d}", b, [b % 9, 2]) for b in bins], "shard_id string, bin long, tokens array<int>")
+    own = own.withColumns({"n_tokens": F.lit(2).cast("long"), "hash": P.tokens_hash(F.col("tokens"))})
+    monkeypatch.setattr(Q, "_shards", lambda *_: own)
+    want = duckdb.sql(f"SELECT 'train-web-' || lpad(CAST(bin AS VARCHAR), 4, '0'), bin % 2 = 0 FROM (SELECT unnest({bins}) AS bin)").fetchall()
+    assert sorted(map(tuple, Q.shard_verify(spark, HERE).collect())) == sorted(want)
