@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from textloom import queries as Q
 from textloom.operators import packing as P
+from textloom.sources import tables as B
 
 HERE = "/root/testdata/sf0.001"
 
@@ -26,3 +27,20 @@ def test_numbers_of_five_digits_are_written_as_the_sql_writes_them(spark, monkey
     monkeypatch.setattr(Q, "_shards", lambda *_: own)
     want = duckdb.sql(f"SELECT 'train-web-' || lpad(CAST(bin AS VARCHAR), 4, '0'), bin % 2 = 0 FROM (SELECT unnest({bins}) AS bin)").fetchall()
     assert sorted(map(tuple, Q.shard_verify(spark, HERE).collect())) == sorted(want)
+
+
+def test_workers_get_small_batches(spark, tmp_path):
+    """A session's larger setting is lowered by each step that sends whole texts or shards to workers, a smaller one stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    seen = str(tmp_path / "seen")
+    for before, after in (("1g", str(B.BATCH)), ("1m", "1m")):
+        spark.conf.set(key, before)
+        B.slim_batches(spark)
+        assert spark.conf.get(key) == after
+    spark.conf.set(key, "1g")
+    docs = spark.createDataFrame([(f"s-{k}", k, "train", "web", "T0", [k] * 9) for k in range(4)], "id string, pos long, split string, lane string, provenance_tier string, tokens array<int>")
+    for step in (lambda: P.write_shards(P.shards(docs, 1, 2, cap=30), seen), lambda: P.read_shards(spark, seen), lambda: Q.R.corpus(spark, HERE)):
+        spark.conf.set(key, "1g")
+        step()
+        assert spark.conf.get(key) == str(B.BATCH)
+    spark.conf.unset(key)
