@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from textloom import queries as Q
+from textloom.operators import cleaning as C
 from textloom.operators import packing as P
 from textloom.sources import tables as B
 
@@ -44,3 +45,13 @@ def test_workers_get_small_batches(spark, tmp_path):
         step()
         assert spark.conf.get(key) == str(B.BATCH)
     spark.conf.unset(key)
+
+
+def test_runs_are_counted_as_hashes(spark, monkeypatch):
+    monkeypatch.setattr(C, "TEXT_A_TASK", 1000)
+    docs = Q.R.corpus(spark, HERE)
+    got = C.gram_frequencies(docs)
+    want = C.document_grams(docs).groupBy("gram").count().groupBy("count").count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = Q.ngram_df(spark, HERE)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(a#" in plan and "hashpartitioning(gram#" not in plan
