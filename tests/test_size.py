@@ -1,11 +1,14 @@
 """Steps whose cost must follow the input: what they no longer build, and that results stay."""
 
+import math
+
 import duckdb
 from pyspark.sql import functions as F
 
 from textloom import queries as Q
 from textloom.operators import cleaning as C
 from textloom.operators import packing as P
+from textloom.operators import surprisal as S
 from textloom.sources import tables as B
 
 HERE = "/root/testdata/sf0.001"
@@ -55,3 +58,17 @@ def test_runs_are_counted_as_hashes(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     plan = Q.ngram_df(spark, HERE)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(a#" in plan and "hashpartitioning(gram#" not in plan
+
+
+def test_bigrams_that_nobody_asks_for_are_not_kept(spark, monkeypatch):
+    train = spark.createDataFrame([(1, "a b a b c"), (2, "x y z"), (3, " b  c "), (4, ""), (5, "a")], "id int, text string")
+    pairs = spark.createDataFrame([("p", "a b q"), ("q", "b c b"), ("r", "new words")], "id string, text string")
+    kept = []
+    monkeypatch.setattr(S, "written", lambda df: kept.append(df.collect()) or df)
+    few = sorted(map(tuple, S.pair_surprisal(train, pairs).collect()))
+    assert set(map(tuple, kept[0])) == {("a", "b", 2), ("b", "c", 2), ("b", None, 1)}
+    monkeypatch.setattr(S, "ASKED", 0)
+    assert sorted(map(tuple, S.pair_surprisal(train, pairs).collect())) == few
+    # v is 5: b, a, c, y, z come second.
+    want = -math.log(3 / 7) - math.log(1 / 8)
+    assert few[0][:2] == ("p", 2) and abs(few[0][2] - want) < 1e-3
