@@ -9,6 +9,7 @@ from textloom import queries as Q
 from textloom.operators import cleaning as C
 from textloom.operators import packing as P
 from textloom.operators import surprisal as S
+from textloom.operators import tokens as K
 from textloom.sources import tables as B
 
 HERE = "/root/testdata/sf0.001"
@@ -43,13 +44,24 @@ def test_workers_get_small_batches(spark, tmp_path):
         assert spark.conf.get(key) == after
     spark.conf.set(key, "1g")
     docs = spark.createDataFrame([(f"s-{k}", k, "train", "web", "T0", [k] * 9) for k in range(4)], "id string, pos long, split string, lane string, provenance_tier string, tokens array<int>")
-    for step in (lambda: P.write_shards(P.shards(docs, 1, 2, cap=30), seen), lambda: P.read_shards(spark, seen), lambda: Q.R.corpus(spark, HERE)):
+    for step in (lambda: P.write_shards(P.shards(docs, 1, 2, cap=30), seen), lambda: P.read_shards(spark, seen), lambda: K.encode(docs.select("id", F.lit("a b").alias("text")), {}, []), lambda: Q.R.corpus(spark, HERE)):
         spark.conf.set(key, "1g")
         step()
         assert spark.conf.get(key) == str(B.BATCH)
     spark.conf.unset(key)
 
 
+def test_what_an_encoder_keeps_is_bounded_and_changes_nothing(spark, monkeypatch):
+    vocab, merges = K.learn_merges({"abab": 5, " ab": 3}, 262)
+    texts = ["abab ab abc " * 5, "x" * 200 + " abab", "", "y ab y ab"]
+    docs = spark.createDataFrame([(f"s-{k}", t) for k, t in enumerate(texts)], "id string, text string")
+    want = {r.id: r.tokens for r in K.encode(docs, vocab, merges).collect()}
+    monkeypatch.setattr(K, "KNOWN", 2)
+    monkeypatch.setattr(K, "KNOWN_CHARS", 3)
+    assert {r.id: r.tokens for r in K.encode(docs, vocab, merges).collect()} == want
+    assert {r.id: r.text for r in K.decode(K.encode(docs, vocab, merges), vocab).collect()} == {f"s-{k}": t for k, t in enumerate(texts)}
+
+
 def test_runs_are_counted_as_hashes(spark, monkeypatch):
     monkeypatch.setattr(C, "TEXT_A_TASK", 1000)
     docs = Q.R.corpus(spark, HERE)
