@@ -84,3 +84,15 @@ def test_bigrams_that_nobody_asks_for_are_not_kept(spark, monkeypatch):
     # v is 5: b, a, c, y, z come second.
     want = -math.log(3 / 7) - math.log(1 / 8)
     assert few[0][:2] == ("p", 2) and abs(few[0][2] - want) < 1e-3
+
+
+def test_pairs_are_the_same_however_many_tasks_they_meet_in(spark, monkeypatch):
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*words[:40 + k % 20], f"z{k % 3}"]) for k in range(12)]
+    docs = spark.createDataFrame([(f"s-{k}", k, t) for k, t in enumerate(texts)], "id string, pos long, text string")
+    sigs = C.signatures(docs).dropDuplicates(["sig"]).cache()
+    held = {r.pos: list(r.sig) for r in sigs.collect()}
+    want = {(a, b) for a in held for b in held if a < b and sum(x == y for x, y in zip(held[a], held[b], strict=True)) >= 26}
+    monkeypatch.setattr(C, "KEYS_A_TASK", 20)
+    monkeypatch.setattr(C, "PAIRS_A_TASK", 5)
+    assert {(r.early, r.late) for r in C.similar_pairs(sigs).collect()} == want and want
